@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leakage, neardup, spans
+from . import knn, leakage, neardup, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": knn.p2_found,
+        "p2_neighbours": knn.p2_neighbours,
         "p4_found": neardup.p4_found,
         "p4_classes": neardup.p4_classes,
         "p6_found": leakage.p6_found,
