@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -38,6 +38,7 @@ from .pairs import expand_pairs
 from .words import WordHashes, mix64, ngram_hashes, word_hashes, words
 
 FREQUENT = 262_144
+HITS = 4
 _BUFFER = 1 << 21
 
 
@@ -122,11 +123,11 @@ def _frequent(rows: DataFrame, n: int, min_words: int, grouped: bool) -> tuple[n
 
 
 def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(pairs(cls_a, cls_b, both, either), members(cls, id)) of texts with Jaccard >= threshold.
+    """(pairs(cls_a, cls_b, both, either), ids(cls, id)) of texts with Jaccard >= threshold.
 
     A class holds the rows of one text, named by its digest. Rows with a null id
-    or text, and texts of fewer than ``min_words`` (or n) words, take no part.
-    Rows repeated whole count once.
+    or text, and texts of fewer than ``min_words`` (or n) words, make no
+    pair, though ids names them. Rows repeated whole count once.
     """
     spark = df.sparkSession
     grouped = threshold >= 0.75
@@ -164,25 +165,24 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, thres
 
     probes = rows.select("cls", "text").mapInArrow(emit, "sig long, cls long, size int, place int")
     probes = probes.repartition("sig").dropDuplicates(["sig", "cls"])
-    # x is the smaller text (ties: the smaller digest)
+    # x is the smaller text (ties: the smaller digest). A pair of a and b bits needs ``overlap`` common ones; of those,
+    # ``k`` stand among the first size - overlap + k of either text, as the probed bits of both stand in one order.
     t = F.lit(threshold)
-    overlap = t / (1 + t) * (F.col("x.size") + F.col("y.size")) - 1e-9
     fits = ((F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.cls") < F.col("y.cls")))) & (F.col("x.size") >= t * F.col("y.size") - 1e-9)
-    before, behind = F.least("x.place", "y.place"), F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    if not grouped:  # bits stand in one order, so what stands before and behind a common bit bounds the overlap
-        fits &= before + behind >= overlap
-    unprobed = lambda size: F.ceil(t * F.col(size) - 1e-9) - 1
+    k = F.lit(1)
+    if not grouped:
+        overlap = F.ceil(t / (1 + t) * (F.col("x.size") + F.col("y.size")) - 1e-9)
+        spare = [overlap - F.ceil(t * F.col(f"{side}.size") - 1e-9) + 1 for side in "xy"]
+        k = F.least(F.lit(HITS), overlap, *spare)
+        fits &= (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) > overlap - k)
     ties = (
         probes.alias("x").join(probes.alias("y"), (F.col("x.sig") == F.col("y.sig")) & fits)
         .groupBy(F.col("x.cls").alias("cls_a"), F.col("y.cls").alias("cls_b"))
-        .agg(F.count(F.lit(1)).alias("hits"), F.min(behind).alias("behind"), F.first(overlap).alias("overlap"), F.first(F.greatest(unprobed("x.size"), unprobed("y.size"))).alias("unprobed"))
+        .agg(F.count(F.lit(1)).alias("hits"), F.first(k).alias("k")).where("hits >= k").select("cls_a", "cls_b")
     )
-    if not grouped:  # all common bits up to the last hit, and up to where the first of the two probes ends, have been hit
-        ties = ties.where(F.col("hits") + F.least(F.col("behind") - 1, F.col("unprobed")) >= F.col("overlap"))
-    ties = ties.select("cls_a", "cls_b")
     ties = materialize(ties, "neardup-ties")
     wanted = ties.select(F.col("cls_a").alias("cls")).unionByName(ties.select(F.col("cls_b").alias("cls"))).distinct()
-    texts = rows.select("cls", "text").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    texts = rows.select("cls", "text").join(small(wanted), "cls", "left_semi").dropDuplicates(["cls"])
     texts = materialize(texts, "neardup-texts")
     both = ties.join(texts.select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a")), "cls_a")
     both = both.join(texts.select(F.col("cls").alias("cls_b"), F.col("text").alias("text_b")), "cls_b")
@@ -209,31 +209,34 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, thres
 
     pairs = both.select("cls_a", "cls_b", "text_a", "text_b").mapInArrow(verify, "cls_a long, cls_b long, both int, either int")
 
-    def long_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [len(w) >= max(n, min_words) for w in map(words, batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["cls", "id"])
+    return pairs, rows.select("cls", "id").distinct()
 
-    members = rows.where(F.length("text") >= 2 * max(n, min_words) - 1).select("cls", "id", "text").mapInArrow(long_enough, "cls long, id long").distinct()
-    return pairs, members
 
+def small(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """``df`` of one or two longs a row, to be broadcast if it has at most ``limit`` rows, as it is otherwise."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
-def _named(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes by their smallest id: (pairs(rep_a, rep_b, ...), members(rep, id, n) of classes of two or more)."""
-    heads = members.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    several = members.join(heads.where("n > 1"), "cls").select("rep", "id", "n")
-    names = heads.select("cls", "rep")
-    out = pairs.join(names.select(F.col("cls").alias("cls_a"), F.col("rep").alias("rep_a")), "cls_a")
-    out = out.join(names.select(F.col("cls").alias("cls_b"), F.col("rep").alias("rep_b")), "cls_b")
-    return out.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), "both", "either"), several
+
+def has_words(text: str, least: int) -> Column:
+    return F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{N}]+")) >= least
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
     from ..session import table
 
-    pairs, members = similar_classes(table(spark, sf_dir, "chunks"), "chunk_id", "text", n=3, threshold=0.5, min_words=20)
-    pairs, several = _named(pairs, materialize(members, "neardup-members"))
-    return expand_pairs(pairs.select(F.col("rep_a").alias("chunk_a"), F.col("rep_b").alias("chunk_b")), several, "chunk_a", "chunk_b")
+    chunks = table(spark, sf_dir, "chunks")
+    pairs, ids = similar_classes(chunks, "chunk_id", "text", n=3, threshold=0.5, min_words=20)
+    pairs = materialize(pairs, "neardup-pairs")
+    copies = ids.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
+    texts = chunks.select(F.xxhash64("text").alias("cls"), "text").where("length(text) > 0").join(small(copies), "cls", "left_semi")
+    long = materialize(texts.where(has_words("text", 20)).select("cls").distinct(), "neardup-copies")
+    named = long.unionByName(pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls"))).distinct()
+    members = materialize(ids.join(small(named), "cls", "left_semi"), "neardup-members")
+    heads = members.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    several = members.join(heads.where("n > 1"), "cls").select("rep", "id", "n")
+    out = pairs.join(heads.select(F.col("cls").alias("cls_a"), F.col("rep").alias("a")), "cls_a")
+    out = out.join(heads.select(F.col("cls").alias("cls_b"), F.col("rep").alias("b")), "cls_b")
+    return expand_pairs(out.select(F.least("a", "b").alias("chunk_a"), F.greatest("a", "b").alias("chunk_b")), several, "chunk_a", "chunk_b")
 
 
 def p4_classes(spark, sf_dir: str) -> DataFrame:
@@ -245,8 +248,8 @@ def p4_classes(spark, sf_dir: str) -> DataFrame:
     from ..session import table
 
     chunks = table(spark, sf_dir, "chunks")
-    pairs, members = similar_classes(chunks, "chunk_id", "text", n=3, threshold=0.5, min_words=20)
-    members = materialize(members, "neardup-members")
+    pairs, _ = similar_classes(chunks, "chunk_id", "text", n=3, threshold=0.5, min_words=20)
+    members = materialize(chunks.where("chunk_id is not null").where(has_words("text", 20)).select(F.xxhash64("text").alias("cls"), F.col("chunk_id").cast("long").alias("id")).distinct(), "neardup-members")
     heads = members.groupBy("cls").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
     ends = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("near"))
     paths = chunks.groupBy(F.col("chunk_id").cast("long").alias("id")).agg(F.max("doc_path").alias("doc_path"))
