@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,32 @@ HITS = 4
 _BUFFER = 1 << 21
 
 
-def sequences(texts: list[str], n: int, cache: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes of the words, hashes of the n-word sequences) of each text, computed for all texts at once."""
+def sequences(texts: list[str], n: int, cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts at once: word hashes, n-word hashes (those across two texts included), words of each text."""
     tokens = [words(t) for t in texts]
-    h = np.fromiter((cache[w] for text in tokens for w in text), np.uint64, sum(map(len, tokens)))
-    g, at = ngram_hashes(h, n), 0
-    for text in tokens:
-        yield h[at : at + len(text)], g[at : at + max(0, len(text) - n + 1)]
-        at += len(text)
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    h = np.fromiter(map(cache.__getitem__, chain.from_iterable(tokens)), np.uint64, int(lengths.sum()))
+    return h, ngram_hashes(h, n), lengths
+
+
+def signed(texts: list[str], n: int, least: int, grouped: bool, cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, number of the text of each, distinct bits of each text; 0 for texts under ``least`` words).
+
+    Signatures of a text may repeat unless grouped.
+    """
+    h, g, lengths = sequences(texts, n, cache)
+    starts = np.cumsum(lengths) - lengths
+    if not grouped:
+        of = np.repeat(np.arange(len(texts)), lengths)[: len(g)]
+        inside = np.arange(len(g)) + n <= (starts + lengths)[of]
+        inside &= (lengths >= least)[of]
+        return g[inside], of[inside], lengths
+    sigs, n_bits = [], np.zeros(len(texts), np.int64)
+    for i, (s, e) in enumerate(zip(starts.tolist(), (starts + lengths).tolist())):
+        bits, anchor = bits_of(h[s:e], g[s : max(s, e - n + 1)], n, True) if e - s >= max(n, least) else (g[:0], g[:0])
+        n_bits[i] = len(bits)
+        sigs.append(signatures(bits, anchor, True))
+    return np.concatenate([*sigs, g[:0]]), np.repeat(np.arange(len(texts)), [len(x) for x in sigs]), n_bits
 
 
 def bits_of(h: np.ndarray, g: np.ndarray, n: int, grouped: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +92,35 @@ def signatures(bits: np.ndarray, anchor: np.ndarray, grouped: bool) -> np.ndarra
         return np.unique(mix64(np.add.reduceat(mix64(bits[order]), starts)))
 
 
-def allocate(sig: np.ndarray, cost: np.ndarray, units: int) -> np.ndarray:
-    """The ``units`` cheapest partitions in the shared order (cost, signature)."""
-    return sig[np.lexsort((sig, cost))[: min(units, len(sig))]]
+def ordered(sig: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Signatures renamed so that their natural order is the shared one: first by estimated count, in steps of a fifth, then by hash."""
+    cost = np.zeros(len(sig), np.int64)
+    if len(keys):
+        at = np.searchsorted(keys, sig.view(np.int64))
+        at[at == len(keys)] = 0
+        cost = np.where(keys[at] == sig.view(np.int64), counts[at], 0)
+    step = np.minimum(np.log1p(cost) / np.log(1.2), 127).astype(np.uint64)
+    return (step << np.uint64(56)) | (sig >> np.uint64(8))
+
+
+def allocate(name: np.ndarray, of: np.ndarray, n_bits: np.ndarray, texts: int, threshold: float, grouped: bool):
+    """The cheapest partitions of each text: (name, text, place in the shared order, bits of the text).
+
+    With thresholds 0 and -1 only, the dynamic program's optimum is the first
+    ``probe_units`` of the distinct signatures in order.
+    """
+    order = np.lexsort((name, of))
+    name, of = name[order], of[order]
+    if len(name):
+        new = np.concatenate(([True], (name[1:] != name[:-1]) | (of[1:] != of[:-1])))
+        name, of = name[new], of[new]
+    held = np.bincount(of, minlength=texts)
+    if not grouped:
+        n_bits = held
+    units = np.array([probe_units(int(b), int(m), threshold, grouped) if m else 0 for b, m in zip(n_bits, held)], np.int64)
+    place = np.arange(len(of)) - (np.cumsum(held) - held)[of]
+    keep = place < units[of]
+    return name[keep], of[keep], place[keep], n_bits[of[keep]]
 
 
 def probe_units(n_bits: int, n_sig: int, threshold: float, grouped: bool) -> int:
@@ -104,10 +149,8 @@ def _frequent(rows: DataFrame, n: int, min_words: int, grouped: bool) -> tuple[n
             parts, held = [], 0
 
         for batch in batches:
-            for h, g in sequences(batch.column(0).to_pylist(), n, cache):
-                if len(h) >= min_words:
-                    parts.append(signatures(*bits_of(h, g, n, grouped), grouped) if grouped else g)
-                    held += len(parts[-1])
+            parts.append(signed(batch.column(0).to_pylist(), n, min_words, grouped, cache)[0])
+            held += len(parts[-1])
             if held >= _BUFFER:
                 fold()
         if parts:
@@ -139,29 +182,16 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, thres
         keys, counts = table.value
         cache, seen = WordHashes(), set()
         for batch in batches:
-            sigs, classes, sizes, places = [], [], [], []
             new = {}
             for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if cls not in seen:
                     new[cls] = text
             if len(seen) < 1_000_000:
                 seen.update(new)
-            for cls, (h, g) in zip(new, sequences(list(new.values()), n, cache)):
-                if len(h) < min_words or not len(g):
-                    continue
-                bits, anchor = bits_of(h, g, n, grouped)
-                sig = signatures(bits, anchor, grouped)
-                at = np.searchsorted(keys, sig.view(np.int64))
-                at[at == len(keys)] = 0
-                cost = np.where(keys[at] == sig.view(np.int64), counts[at], 0) if len(keys) else np.zeros(len(sig), np.int64)
-                chosen = allocate(sig, cost, probe_units(len(bits), len(sig), threshold, grouped))
-                sigs.append(chosen)
-                classes.append(np.full(len(chosen), cls, np.int64))
-                sizes.append(np.full(len(chosen), len(bits), np.int32))
-                places.append(np.arange(len(chosen), dtype=np.int32))
-            if sigs:
-                cols = [np.concatenate(x) for x in (sigs, classes, sizes, places)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), *map(pa.array, cols[1:])], names=["sig", "cls", "size", "place"])
+            sig, of, n_bits = signed(list(new.values()), n, min_words, grouped, cache)
+            name, of, place, size = allocate(ordered(sig, keys, counts), of, n_bits, len(new), threshold, grouped)
+            cls = np.fromiter(new, np.int64, len(new))[of]
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(cls), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))], names=["sig", "cls", "size", "place"])
 
     probes = rows.select("cls", "text").mapInArrow(emit, "sig long, cls long, size int, place int")
     probes = probes.repartition("sig").dropDuplicates(["sig", "cls"])

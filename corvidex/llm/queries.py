@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, leakage, neardup, spans
+from . import knn, leakage, mixing, neardup, spans, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_neighbours": knn.p2_neighbours,
         "p4_found": neardup.p4_found,
         "p4_classes": neardup.p4_classes,
+        "p5_found": splitting.p5_found,
+        "p5_pieces": splitting.p5_pieces,
         "p6_found": leakage.p6_found,
         "p6_leaks": leakage.p6_leaks,
+        "p7_selection": mixing.p7_selection,
+        "p7_report": mixing.p7_report,
         "p8_found": spans.p8_found,
         "p8_spans": spans.p8_spans,
         "p8_shares": spans.p8_shares,
