@@ -1 +1 @@
-"""corvidex: operators."""
+"""Operators over DataFrames."""

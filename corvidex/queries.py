@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.packed import unpack
+from .session import table
+
 FLAGSHIP = "hybrid_search"
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unpack(table(spark, sf_dir, "documents"), "doc_id", "tags")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
