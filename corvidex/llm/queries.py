@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, leakage, mixing, neardup, spans, splitting
+from . import encoding, knn, leakage, mixing, neardup, spans, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": encoding.p1_found,
+        "p1_repaired": encoding.p1_repaired,
         "p2_found": knn.p2_found,
         "p2_neighbours": knn.p2_neighbours,
         "p4_found": neardup.p4_found,
