@@ -233,8 +233,11 @@ class Model:
             return -1.0 if "utf_" in cipher else -4.0 if cipher.endswith(("euc_jp", "cp932")) else -8.0
         return self.prior[tab].get(cipher, self.unseen[tab])
 
-    def read(self, tab: str, word: str, n: int = 1) -> tuple[str, str, float] | None:
-        """(cipher, text, log odds against clean) of a word's best reading, if that is likelier than that the word is clean."""
+    def read(self, tab: str, word: str, n: int = 1) -> tuple[str, str, bool] | None:
+        """(cipher, text, whether in doubt) of a word's best reading, if that is likelier than that the word is clean.
+
+        In doubt is a reading that is likelier only by the counts of the other words.
+        """
         here = self.base[tab] + self.bigrams.score(word)
         if here > -1.7 * len(word) - 4:  # no reading can be that much likelier
             return None
@@ -243,11 +246,12 @@ class Model:
             s = self.prior_of(tab, z) + self.bigrams.score(y)
             if best is None or s > best[2]:
                 best = (z, y, s)
-        if best is not None and best[2] <= here < -4 * len(word):  # unlikely, though itself among the counts
-            here = self.base[tab] + self.bigrams.score_without(word, n) + 3
+        if best is not None and best[2] <= here < -4 * len(word) and len(word) > 2:  # unlikely, though itself among the counts
+            if best[2] > self.base[tab] + self.bigrams.score_without(word, n) + 3:
+                return best[0], best[1], True
         if best is None or best[2] <= here:
             return None
-        return best[0], best[1], best[2] - here
+        return best[0], best[1], False
 
 
 def _values(frames: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -299,14 +303,18 @@ def _expect(words: DataFrame, model: Model) -> DataFrame:
             rows = []
             for tab, word, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if LOST in word:
-                    rows.append((tab, word, n, "lost", word))
+                    rows.append((tab, word, n, "lost", word, False))
                 elif got := model.read(tab, word, n):
-                    rows.append((tab, word, n, got[0], got[1]))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["tab", "word", "n", "cipher", "reading"])
-
-    return words.mapInArrow(read, "tab string, word string, n long, cipher string, reading string")
+                    rows.append((tab, word, n, *got))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["tab", "word", "n", "cipher", "reading", "doubt"])
+
+    read_all = materialize(words.mapInArrow(read, "tab string, word string, n long, cipher string, reading string, doubt boolean"), "encoding-readings")
+    # a doubtful reading holds if it is itself a word that is seen more often
+    known = words.select("tab", F.col("word").alias("reading"), F.col("n").alias("seen"))
+    held = read_all.where("doubt").join(known, ["tab", "reading"]).where("seen > n")
+    return read_all.where("not doubt").drop("doubt").unionByName(held.select("tab", "word", "n", "cipher", "reading"))
 
 
 def _maximise(bigrams: Bigrams, found: DataFrame, clean: dict[str, float]) -> Model:
