@@ -5,8 +5,8 @@ alignment (Smith-Waterman over words) scores each tie, and an exact run check
 gives the longest run of consecutive item words found verbatim.
 
 1. The items' 5-word seeds are counted over all documents in one scan.
-2. Of every ``run_words`` window of an item the rarest seed is kept, so any
-   verbatim run of that length holds at least one kept seed.
+2. Rare seeds are kept, and of every ``run_words`` window of an item the rarest
+   one even if it is common, so any verbatim run of that length holds a kept seed.
 3. A second scan looks the kept seeds up and aligns where they hit.
 
 The corpus is never shuffled. Items are taken in blocks of bounded size, each
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .words import words
 
-SEED_WORDS = 5
+SEED_WORDS, RARE = 5, 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,9 +58,12 @@ class _Index:
         self.seeds = np.unique(self.key)
 
     def keep(self, counts: dict[int, int], run_words: int) -> None:
-        """Keep of each run_words window its rarest seed (ties: the later), of shorter items the rarest one."""
-        df = np.array([counts.get(int(k), 0) for k in self.key.view(np.int64)])
-        kept, span = np.zeros(len(self.key), bool), run_words - SEED_WORDS + 1
+        """Keep the rare seeds, and of each run_words window its rarest (ties: the later), of shorter items the rarest one.
+
+        Rare is up to RARE times the median count of the seeds that occur at all.
+        """
+        df = np.array([counts.get(int(k), 0) for k in self.key.view(np.int64)], np.int64)
+        kept, span = df <= RARE * (np.median(df[df > 0]) if (df > 0).any() else 1), run_words - SEED_WORDS + 1
         for j in range(len(self.items)):
             at = np.flatnonzero(self.item == j)
             for s in range(max(1, len(at) - span + 1) if len(at) else 0):
