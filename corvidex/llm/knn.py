@@ -36,7 +36,7 @@ class CentroidGraph:
     the best. Up to ``entries`` centroids each is its own entry point.
     """
 
-    def __init__(self, centroids: np.ndarray, entries: int = 1024, down: int = 24, degree: int = 16, seed: int = 7):
+    def __init__(self, centroids: np.ndarray, entries: int = 1024, down: int = 32, degree: int = 24, seed: int = 7):
         self.c = np.ascontiguousarray(centroids, np.float32)
         k = len(self.c)
         self.entry = self.c
@@ -79,15 +79,15 @@ class CentroidGraph:
         for i in range(0, len(x), 1024):
             b = x[i : i + 1024]
             s = b @ self.entry.T
-            start = min(8 if self.down is not None else top, s.shape[1])
+            start = min(12 if self.down is not None else top, s.shape[1])
             best = np.argpartition(-s, start - 1, axis=1)[:, :start]
             if self.down is None:
                 v = np.take_along_axis(s, best, 1)
                 order = np.argsort(-v, axis=1, kind="stable")
                 best, v = np.take_along_axis(best, order, 1), np.take_along_axis(v, order, 1)
             else:
-                best, _ = self._rank(b, self.down[best].reshape(len(b), -1), 8)
-                best, v = self._rank(b, np.concatenate([best, self.edges[best[:, :6]].reshape(len(b), -1)], axis=1), max(top, 6))
+                best, _ = self._rank(b, self.down[best].reshape(len(b), -1), 10)
+                best, v = self._rank(b, np.concatenate([best, self.edges[best[:, :8]].reshape(len(b), -1)], axis=1), max(top, 6))
             ids.append(best[:, :top])
             cos.append(v[:, :top])
         return np.concatenate(ids), np.concatenate(cos)
