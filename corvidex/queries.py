@@ -425,7 +425,7 @@ def oracle_sql() -> dict[str, str]:
         "md_table": "select doc_id, '| ' || doc_id || ' | ' || replace(replace(coalesce(tags, ''), '|', '\\|'), chr(10), ' ') || ' |' as line from documents",
         "json_rows": "select doc_id, title from documents",
         "doc_title": "select doc_id, case when regexp_extract(text, '^#[ \\t]+([^\\n]+)', 1) <> '' then trim(regexp_extract(text, '^#[ \\t]+([^\\n]+)', 1)) else regexp_replace(string_split(path, '/')[-1], '(.)\\.[^.]*$', '\\1') end as title from documents",
-        "chunk_markdown_sections": "with l as (select doc_id, unnest(string_split(text, chr(10))) as b from documents where text is not null), h as (select doc_id, b, regexp_matches(b, '^#{1,6}\\s+.') as is_h, row_number() over () as i from l) select doc_id, sum(is_h::int) + max(case when first_line and not is_h then 1 else 0 end)::int as n_sections, sum(is_h::int)::bigint as n_headed from (select *, row_number() over (partition by doc_id order by i) = 1 as first_line from h) group by 1",
+        "chunk_markdown_sections": "with l as (select doc_id, unnest(string_split(text, chr(10))) as b from documents where text is not null), h as (select doc_id, b, regexp_matches(b, '^#{1,6}\\s+.') as is_h, row_number() over () as i from l) select doc_id, (sum(is_h::int) + max(case when first_line and not is_h then 1 else 0 end))::bigint as n_sections, sum(is_h::int)::bigint as n_headed from (select *, row_number() over (partition by doc_id order by i) = 1 as first_line from h) group by 1",
         "incremental_diff": _VERSIONS + ", a as (select path, content_hash, row_number() over (partition by path, content_hash order by chunk_id) as k from o), b as (select path, content_hash, row_number() over (partition by path, content_hash order by chunk_index) as k from n) select case when a.path is null then 'insert' when b.path is null then 'delete' else 'reuse' end as action, count(*) as n from a full join b on a.path = b.path and a.content_hash = b.content_hash and a.k = b.k group by 1",
         "orphan_chunks": _VERSIONS + "select chunk_id from o where not exists (select 1 from n where n.path = o.path and n.content_hash = o.content_hash)",
         "reused_chunks": _VERSIONS + "select chunk_id from n where exists (select 1 from o where n.path = o.path and n.content_hash = o.content_hash)",
