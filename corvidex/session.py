@@ -40,6 +40,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def fan_out(scan: DataFrame) -> DataFrame:
+    """A plain scan in at least as many partitions as there are cores: only tables of a few files are shuffled for it."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 _SHIPPED: set[str] = set()
 
 
