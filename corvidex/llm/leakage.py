@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fan_out
 from .words import words
 
 SEED_WORDS, RARE = 5, 20
@@ -144,6 +145,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, run_words: int = 13, bl
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and length(text) > 0")
+    docs = fan_out(docs)
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and length(text) > 0").distinct()
     size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(size) // (2 * block_words)))
