@@ -146,7 +146,8 @@ class Bigrams:
         self.pairs.update(kept)
         return out
 
-    def score(self, word: str) -> float:
+    def score(self, word: str, least: float = -math.inf) -> float:
+        """log P of a word; -inf once it is below ``least``, as no step adds to it."""
         memo, out, a = self._memo, 0.0, " "
         for b in word.translate(_DIGITS) + " ":  # digits are one class
             if (s := memo.get((a, b))) is None:
@@ -154,6 +155,8 @@ class Bigrams:
                     memo.clear()
                 s = memo[a, b] = self._step(a, b)
             out += s
+            if out < least:
+                return -math.inf
             a = b
         return out
 
@@ -239,14 +242,14 @@ class Model:
         In doubt is a reading that is likelier only by the counts of the other words.
         """
         here = self.base[tab] + self.bigrams.score(word)
-        if here > -1.7 * len(word) - 4:  # no reading can be that much likelier
-            return None
-        best = None
+        unlikely = here < -4 * len(word) and len(word) > 2
+        best, least = None, -math.inf if unlikely else here
         for z, y in readings(word).items():
-            s = self.prior_of(tab, z) + self.bigrams.score(y)
-            if best is None or s > best[2]:
-                best = (z, y, s)
-        if best is not None and best[2] <= here < -4 * len(word) and len(word) > 2:  # unlikely, though itself among the counts
+            prior = self.prior_of(tab, z)
+            s = prior + self.bigrams.score(y, least - prior)
+            if s > least:
+                best, least = (z, y, s), s
+        if best is not None and unlikely and best[2] <= here:  # unlikely, though itself among the counts
             if best[2] > self.base[tab] + self.bigrams.score_without(word, n) + 3:
                 return best[0], best[1], True
         if best is None or best[2] <= here:

@@ -50,6 +50,15 @@ def test_encoding_finds_and_repairs(spark):
     assert encoding.repair(empty, encoding.garbled_words(empty)).count() == 0
 
 
+def test_encoding_finds_frequent_garbling(spark):
+    words = ["открыть", "записка", "таблица", "ключ", "словарь"]
+    passed = {v: k for k, v in reversed(list(encoding._page("cp1252").items()))}
+    bad = {"".join(passed[b] for b in w.encode()): w for w in words}
+    rows = list(enumerate(words * 200 + list(bad) * 200))
+    values = encoding._values([("chunks", spark.createDataFrame(rows, "chunk_id long, text string"), "chunk_id", "text")])
+    assert {x["word"]: x["reading"] for x in encoding.garbled_words(values).collect()} == bad
+
+
 def test_readings_round_trip():
     for page in ("cp1252", "cp1251", "mac_roman", "cp437"):
         text = "résumé" if page != "cp1251" else "réglé"
