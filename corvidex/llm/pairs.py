@@ -6,22 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _digested(df: DataFrame, id_col: str, text_col: str, keep: Column | None) -> DataFrame:
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    if keep is not None:
+        rows = rows.where(keep)
+    return rows.withColumn("digest", F.unhex(F.md5("text")))
+
+
+def class_members(df: DataFrame, id_col: str, text_col: str, keep: Column | None = None, least: int = 1) -> DataFrame:
+    """(rep, id, n, length): each id with its class of at least ``least`` equal texts, their number and the text's length."""
+    ids = _digested(df, id_col, text_col, keep).select("digest", "id", F.length("text").alias("length")).distinct()
+    heads = ids.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return ids.join(heads, "digest").select("rep", "id", "n", "length")
+
+
 def copy_classes(df: DataFrame, id_col: str, text_col: str, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(representatives(rep, text), members(rep, id, n)) of the rows with equal text.
+    """(representatives(rep, text), members(rep, id, n, length)) of the rows with equal text.
 
     The representative is the smallest id. Rows whose text or id is null take no
-    part. Only (digest, id) pairs are aggregated map-side; the text of a class
-    travels once per map task, not once per copy.
+    part; members are those of classes of two or more. Only (digest, id) pairs
+    are aggregated map-side; the text of a class travels once per map task, not
+    once per copy.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    if keep is not None:
-        rows = rows.where(keep)
-    rows = rows.withColumn("digest", F.unhex(F.md5("text")))
+    rows = _digested(df, id_col, text_col, keep)
     reps = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.first("text").alias("text")).select("rep", "text")
-    ids = rows.select("digest", "id").distinct()
-    heads = ids.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = ids.join(heads, "digest").select("rep", "id", "n")
-    return reps, members
+    return reps, class_members(df, id_col, text_col, keep, 2)
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame, a: str, b: str, class_limit: int = 1000) -> DataFrame:

@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_report": mixing.p7_report,
         "p8_found": spans.p8_found,
         "p8_spans": spans.p8_spans,
+        "p8_classes": spans.p8_classes,
         "p8_shares": spans.p8_shares,
     }
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .pairs import copy_classes, expand_pairs
+from .pairs import class_members, copy_classes, expand_pairs
 from .words import mix64
 
 GEAR = 32
@@ -118,7 +118,7 @@ def shared_runs(documents: DataFrame, span: int = 300) -> tuple[DataFrame, DataF
 
     runs: (rep_a, rep_b, start_a, start_b, length), rep_a < rep_b, every maximal
     run of at least ``span`` equal code points between two different texts.
-    members: the classes (rep, id, n) of equal texts, representatives: (rep, text).
+    members: the classes (rep, id, n, length) of equal texts, representatives: (rep, text).
     Null and shorter texts take no part, repeated rows count once.
     """
     spark = documents.sparkSession
@@ -175,11 +175,25 @@ def p8_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p8_spans(spark, sf_dir: str) -> DataFrame:
-    """The shared runs themselves, between representatives of equal texts, as positions (0-based) and length."""
+    """The shared runs themselves, as positions (0-based) and length.
+
+    Between different texts they run between the representatives of equal texts;
+    each further copy has its whole text as a run with its representative
+    (``rep_a``). p8_classes tells which documents a representative stands for.
+    """
+    from ..session import table
+
+    runs, members, _ = shared_runs(table(spark, sf_dir, "documents"))
+    zero = F.lit(0)
+    return runs.unionByName(members.where("rep <> id").select(F.col("rep").alias("rep_a"), F.col("id").alias("rep_b"), zero.alias("start_a"), zero.alias("start_b"), "length"))
+
+
+def p8_classes(spark, sf_dir: str) -> DataFrame:
+    """Each document of at least 300 code points with its class of equal texts (smallest doc_id) and that class's copies, itself included."""
     from ..session import table
 
-    runs, _, _ = shared_runs(table(spark, sf_dir, "documents"))
-    return runs
+    members = class_members(table(spark, sf_dir, "documents"), "doc_id", "text", F.length("text") >= 300)
+    return members.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), F.col("n").alias("copies"))
 
 
 def p8_shares(spark, sf_dir: str) -> DataFrame:

@@ -282,6 +282,17 @@ def test_spans_equal_brute_force(spark):
     assert spans.shared_runs(df.limit(0))[0].count() == 0
 
 
+def test_spans_and_classes_of_copies(spark, tmp_path):
+    r = random.Random(15)
+    a, b, c = (" ".join(sentence(r) for _ in range(6)) for _ in range(3))
+    rows = [(3, a), (1, a), (7, a), (7, a), (2, b), (4, a[:310] + "#" + sentence(r)), (5, c), (6, c), (8, "z" * 20), (9, "z" * 20), (10, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(x) for x in spans.p8_spans(spark, str(tmp_path)).collect()}
+    assert {(1, 3, 0, 0, len(a)), (1, 7, 0, 0, len(a)), (5, 6, 0, 0, len(c))} < got and {x[:2] for x in got} == {(1, 3), (1, 7), (5, 6), (1, 4)}
+    classes = [tuple(x) for x in spans.p8_classes(spark, str(tmp_path)).collect()]
+    assert sorted(classes) == [(1, 1, 3), (2, 2, 1), (3, 1, 3), (4, 4, 1), (5, 5, 2), (6, 5, 2), (7, 1, 3)]
+
+
 def test_shares(spark, tmp_path):
     r = random.Random(14)
     a = " ".join(sentence(r) for _ in range(6))
