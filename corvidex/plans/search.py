@@ -43,23 +43,28 @@ def hybrid_search(query: str, embedding: list[float], chunks: DataFrame, vectors
 
     tag: filters act below retrieval; the others act on the fused candidates (3k,
     with filters 5k), then the cut to k, then the similarity threshold, which
-    never backfills. ``prefilter`` pushes all filters below retrieval instead.
+    never backfills. With tags, all tagged vectors are fused, and the words' list
+    and the fused one hold at least as many candidates as there are tagged chunks
+    plus k. ``prefilter`` pushes all filters below retrieval instead.
     """
     clean, filters = parse_filters(query)
+    fetch = (5 if filters.active else 3) * k
+    cut = fetch if filters.active else k
     allowed = None
     if prefilter and filters.active:
         allowed = _backfill(chunks.select("chunk_id").distinct(), chunks, documents).where(predicate(filters)).select("chunk_id")
     elif filters.tags:
         allowed = tagged_chunks(chunks, documents, filters.tags)
+    if filters.tags:
+        fetch = cut = max(fetch, allowed.count() + k)
         filters = filters.without_tags()
-    fetch = (5 if filters.active else 3) * k
     near = knn(vectors.select("chunk_id", "embedding"), embedding, allowed=allowed).orderBy("distance", "chunk_id")
     near = rank_list(near.limit(fetch), [F.col("distance"), F.col("chunk_id")])
     near = near.select(F.lit(0).alias("list_idx"), F.lit("vec").alias("kind"), F.lit(1.0).alias("weight"), "chunk_id", "rank", (1 - F.col("distance")).alias("score"), "distance", F.lit(None).cast("double").alias("fts_rank"))
     words = rank_list(bm25(chunks, clean, allowed=allowed).orderBy("fts_rank", "chunk_id").limit(fetch), [F.col("fts_rank"), F.col("chunk_id")])
     words = words.select(F.lit(1).alias("list_idx"), F.lit("fts").alias("kind"), F.lit(1.0).alias("weight"), "chunk_id", "rank", normalised(F.col("fts_rank")).alias("score"), F.lit(None).cast("double").alias("distance"), "fts_rank")
     order = [F.desc("rrf_score"), F.col("best_rank"), F.col("chunk_id")]
-    fused = fuse(near.unionByName(words)).withColumn("rrf_score", F.round("rrf_score", 9)).orderBy(*order).limit(fetch if filters.active else k)
+    fused = fuse(near.unionByName(words)).withColumn("rrf_score", F.round("rrf_score", 9)).orderBy(*order).limit(cut)
     full = _backfill(fused, chunks, documents)
     if not prefilter:
         full = full.where(predicate(filters))

@@ -235,6 +235,18 @@ def test_search_plans(spark):
     assert "G > H" in search.context(search.hybrid_search("alpha", [1.0, 1.0], chunks, vecs, docs, 2)).first()[0]
 
 
+def test_hybrid_search_fuses_all_tagged_chunks(spark):
+    rows = [(i, i, "alpha " * (40 - i) + "x " * i, "", "", f"d/{i}.md", f"d/{i}.md") for i in range(1, 31)]
+    docs = spark.createDataFrame([(r[1], r[5], "pdf" if r[0] == 30 else "markdown", "x", "2026-01-01", "t") for r in rows], "doc_id long, path string, type string, tags string, indexed_at string, title string")
+    vecs = spark.createDataFrame([(r[0], [1.0, float(r[0])]) for r in rows], "chunk_id long, embedding array<float>")
+    run = lambda q, v, k, **how: [(r["chunk_id"], r["sources"]) for r in search.hybrid_search(q, v, spark.createDataFrame(rows, CHUNK), vecs, docs, k, **how).orderBy("rank").collect()]
+    assert run("tag:x type:pdf alpha", [1.0, 0.0], 2) == [(30, "fts+vec")]  # last of both lists
+    assert run("tag:x alpha", [0.0, 1.0], 2)[0] in {(1, "fts+vec"), (30, "fts+vec")}
+    assert {s for _, s in run("tag:x alpha", [0.0, 1.0], 4)} == {"fts+vec"}
+    assert {s for _, s in run("tag:x alpha", [0.0, 1.0], 4, prefilter=True)} == {"fts+vec"}
+    assert run("type:pdf alpha", [1.0, 0.0], 2) == []  # without a tag the other filters act on 5k candidates
+
+
 def test_entry_runs_without_llm(spark):
     import __spark_entry__ as e
 
