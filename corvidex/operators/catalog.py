@@ -26,18 +26,19 @@ def extension_histogram(paths: DataFrame) -> DataFrame:
     return paths.groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def change_plan(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, content_hash, occurrence, action, chunk_id, chunk_index): what a re-index does to each chunk.
+def change_plan(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys.., content_hash, occurrence, action, chunk_id, chunk_index): what a re-index does to each chunk.
 
-    old: (path, chunk_id, content_hash), new: (path, chunk_index, content_hash).
-    Equal hashes within a path pair up in order of appearance, so repeated chunks
+    old: (keys.., chunk_id, content_hash), new: (keys.., chunk_index, content_hash).
+    Equal hashes within a path (or path and version) pair up in order of appearance, so repeated chunks
     keep their ids too. action is ``reuse``, ``insert`` or ``delete``.
     """
-    a = old.select("path", "chunk_id", "content_hash", F.expr("row_number() over (partition by path, content_hash order by chunk_id)").alias("occurrence"))
-    b = new.select("path", "chunk_index", "content_hash", F.expr("row_number() over (partition by path, content_hash order by chunk_index)").alias("occurrence"))
-    both = a.join(b, ["path", "content_hash", "occurrence"], "full_outer")
+    by = ", ".join(keys)
+    a = old.select(*keys, "chunk_id", "content_hash", F.expr(f"row_number() over (partition by {by}, content_hash order by chunk_id)").alias("occurrence"))
+    b = new.select(*keys, "chunk_index", "content_hash", F.expr(f"row_number() over (partition by {by}, content_hash order by chunk_index)").alias("occurrence"))
+    both = a.join(b, [*keys, "content_hash", "occurrence"], "full_outer")
     action = F.when(F.col("chunk_id").isNull(), "insert").when(F.col("chunk_index").isNull(), "delete").otherwise("reuse")
-    return both.select("path", "content_hash", "occurrence", action.alias("action"), "chunk_id", "chunk_index")
+    return both.select(*keys, "content_hash", "occurrence", action.alias("action"), "chunk_id", "chunk_index")
 
 
 def with_tags(documents: DataFrame, path: str, add: list[str] = (), remove: list[str] = ()) -> DataFrame:

@@ -334,6 +334,35 @@ def reused_chunks(s, d):
     return new.select("path", "content_hash", "chunk_id").join(old.select("path", "content_hash"), ["path", "content_hash"], "left_semi").select("chunk_id")
 
 
+# the same over the whole history: every indexing of a path against the one before it
+
+
+def _history(s, d) -> tuple[DataFrame, DataFrame]:
+    """(old, new) sides of all indexings, a path's first against nothing: ``version`` is the number of the one that ``new`` came with."""
+    by_path = "over (partition by path order by doc_id)"
+    docs = _documents(s, d).select("doc_id", "path", F.expr(f"row_number() {by_path}").alias("version"), F.expr(f"lead(doc_id) {by_path} is null").alias("last"))
+    rows = _chunks(s, d).select("chunk_id", "doc_id", "chunk_index", "content_hash").dropDuplicates(["chunk_id"]).join(docs, "doc_id")
+    return rows.where("not last").withColumn("version", F.col("version") + 1), rows
+
+
+def incremental_diff_all(s, d):
+    old, new = _history(s, d)
+    return catalog.change_plan(old, new, ("path", "version")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+def orphan_chunks_all(s, d):
+    """Chunks of any earlier indexing that the path's last one does not have."""
+    old, new = _history(s, d)
+    return old.select("path", "content_hash", "chunk_id").join(new.where("last").select("path", "content_hash"), ["path", "content_hash"], "left_anti").select("chunk_id")
+
+
+def reused_chunks_all(s, d):
+    """Chunks that the indexing before theirs had already."""
+    old, new = _history(s, d)
+    keys = ["path", "version", "content_hash"]
+    return new.select(*keys, "chunk_id").join(old.select(*keys), keys, "left_semi").select("chunk_id")
+
+
 def unchanged_docs(s, d):
     rows = _documents(s, d).select("doc_id", "content_hash", F.expr("lag(content_hash) over (partition by path order by doc_id)").alias("before"))
     return rows.where("content_hash = before").select("doc_id")
@@ -377,7 +406,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (hybrid_search, hybrid_threshold_no_backfill, hybrid_search_filtered, bm25_topk, bm25_weighted_fields, bm25_all_matches, bm25_filtered_global_idf, bm25_norm_best_per_doc, bm25_shortcut_decision,
              term_document_frequency, knn_cosine_topk, knn_cosine_filtered, centroid_per_label, similar_docs, best_of_two_vec, rrf_two_list, rrf_multi_list, rank_bonus, tag_histogram, type_counts, type_rollup,
              ext_histogram, corpus_stats, doc_listing, stale_char_counts, fts_path, embedding_text, doc_title, snippet, format_size, md_table, json_rows, chunk_plain_pack, chunk_markdown_sections, heading_ancestry,
-             incremental_diff, orphan_chunks, reused_chunks, unchanged_docs, dup_chunks_by_hash, context_assembly, source_dedupe, ignore_patterns, size_guard, windowed_events)
+             incremental_diff, orphan_chunks, reused_chunks, incremental_diff_all, orphan_chunks_all, reused_chunks_all, unchanged_docs, dup_chunks_by_hash, context_assembly, source_dedupe, ignore_patterns, size_guard, windowed_events)
     return {"p3_found": p3_found} | {f.__name__: f for f in plain} | {name: _filter(q) for name, (q, _) in FILTERS.items()}
 
 
@@ -386,6 +415,11 @@ r as (select distinct on (chunk_id) c.chunk_id, c.doc_id, c.chunk_index, c.conte
 o as (select * from r where age = 2), n as (select * from r where age = 1) """
 
 
+_HISTORY = """with d as (select doc_id, path, row_number() over (partition by path order by doc_id) as version, row_number() over (partition by path order by doc_id desc) as age from documents),
+r as (select distinct on (chunk_id) c.chunk_id, c.doc_id, c.chunk_index, c.content_hash, d.path, d.version, d.age from chunks c join d using (doc_id) order by chunk_id),
+o as (select * replace (version + 1 as version) from r where age > 1), n as (select * from r) """
+
+
 def oracle_sql() -> dict[str, str]:
     hybrid = lambda fetch: _V + _HYBRID.replace("FETCH", str(fetch))
     return {name: _FILTERED + sql for name, (_, sql) in FILTERS.items()} | {
@@ -429,6 +463,9 @@ def oracle_sql() -> dict[str, str]:
         "incremental_diff": _VERSIONS + ", a as (select path, content_hash, row_number() over (partition by path, content_hash order by chunk_id) as k from o), b as (select path, content_hash, row_number() over (partition by path, content_hash order by chunk_index) as k from n) select case when a.path is null then 'insert' when b.path is null then 'delete' else 'reuse' end as action, count(*) as n from a full join b on a.path = b.path and a.content_hash = b.content_hash and a.k = b.k group by 1",
         "orphan_chunks": _VERSIONS + "select chunk_id from o where not exists (select 1 from n where n.path = o.path and n.content_hash = o.content_hash)",
         "reused_chunks": _VERSIONS + "select chunk_id from n where exists (select 1 from o where n.path = o.path and n.content_hash = o.content_hash)",
+        "incremental_diff_all": _HISTORY + ", a as (select path, version, content_hash, row_number() over (partition by path, version, content_hash order by chunk_id) as k from o), b as (select path, version, content_hash, row_number() over (partition by path, version, content_hash order by chunk_index) as k from n) select case when a.path is null then 'insert' when b.path is null then 'delete' else 'reuse' end as action, count(*) as n from a full join b on a.path = b.path and a.version = b.version and a.content_hash = b.content_hash and a.k = b.k group by 1",
+        "orphan_chunks_all": _HISTORY + "select chunk_id from o where not exists (select 1 from n where age = 1 and n.path = o.path and n.content_hash = o.content_hash)",
+        "reused_chunks_all": _HISTORY + "select chunk_id from n where exists (select 1 from o where n.path = o.path and n.version = o.version and n.content_hash = o.content_hash)",
         "unchanged_docs": "select doc_id from (select doc_id, content_hash, lag(content_hash) over (partition by path order by doc_id) as b from documents) where content_hash = b",
         "dup_chunks_by_hash": "select content_hash, count(*) as n, min(chunk_id) as first_id from (select distinct chunk_id, content_hash from chunks) group by 1 having count(*) > 1",
         "context_assembly": "select query_id, md5(string_agg('[' || hit_pos || '] ' || doc_path || chr(10) || text, chr(10) || chr(10) order by hit_pos)) as h from (select distinct query_id, hit_pos, doc_path, text from search_hits where hit_pos <= 3) group by 1",

@@ -247,6 +247,19 @@ def test_hybrid_search_fuses_all_tagged_chunks(spark):
     assert run("type:pdf alpha", [1.0, 0.0], 2) == []  # without a tag the other filters act on 5k candidates
 
 
+def test_history_compares_all_versions(spark, tmp_path):
+    from corvidex import queries
+
+    spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a"), (5, "b")], "doc_id long, path string").write.parquet(f"{tmp_path}/documents.parquet")
+    hashes = {1: "pqq", 2: "pqr", 3: "pq", 4: "ps", 5: "p"}
+    rows = [(10 * doc + i, doc, i, h) for doc, hs in hashes.items() for i, h in enumerate(hs)]
+    spark.createDataFrame(rows + rows[:2], "chunk_id long, doc_id long, chunk_index long, content_hash string").write.parquet(f"{tmp_path}/chunks.parquet")
+    run = lambda name: sorted(tuple(r) for r in queries.queries()[name](spark, str(tmp_path)).collect())
+    assert run("incremental_diff_all") == [("delete", 3), ("insert", 6), ("reuse", 5)]
+    assert run("orphan_chunks_all") == [(11,), (12,), (21,), (22,), (31,)]
+    assert run("reused_chunks_all") == [(20,), (21,), (30,), (31,), (40,)]
+
+
 def test_entry_runs_without_llm(spark):
     import __spark_entry__ as e
 
