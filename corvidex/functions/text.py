@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
+# as unicode61 has it: small Latin letters with one mark become the bare letter, others keep theirs; marks that stand by themselves go
+MARKS = "".join(map(chr, (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x309, 0x30A, 0x30B, 0x30C, 0x30F, 0x311, 0x31B, 0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330, 0x331)))
+ACCENTED = "".join(c for c in map(chr, range(0x80, 0x2000)) if c == c.lower() and len(d := unicodedata.normalize("NFD", c)) == 2 and d[0].isascii() and d[0].isalpha())
+BARE = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
 
 
 def strip(c: Column) -> Column:
@@ -39,9 +44,15 @@ def glob_to_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + r"\z"
 
 
-def tokens(c: Column) -> Column:
-    """Lower-cased maximal runs of letters and digits; null gives none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
+def folded(text: str) -> str:
+    """Lower-cased, without the diacritics that unicode61 removes."""
+    return text.lower().translate(str.maketrans(ACCENTED, BARE, MARKS))
+
+
+def tokens(c: Column, fold: bool = True) -> Column:
+    """Lower-cased maximal runs of letters and digits, diacritics removed if ``fold``; null gives none."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.regexp_extract_all(F.translate(low, ACCENTED + MARKS, BARE) if fold else low, F.lit(TOKEN), F.lit(0))
 
 
 def last_parts(path: Column, n: int = 2) -> Column:

@@ -13,55 +13,63 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.porter import stem
-from ..functions.text import tokens
+from ..functions.text import folded, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 # fixed values: weights of path, heading and text
 WEIGHTS = {"fts_path": 10.0, "heading": 2.0, "text": 1.0}
 
 
-def query_words(query: str, stemmed: bool = False) -> list[str]:
-    """The query's words, each to be matched as a prefix; none gives an empty list."""
-    found = re.findall(r"[^\W_]+", query.lower())
-    return [stem(w) for w in found] if stemmed else found
+def query_phrases(query: str, fold: bool = True) -> list[tuple[str, ...]]:
+    """The query's words as phrases of tokens, the last one a prefix: ``_`` joins words but parts tokens. A lone ``_`` is an empty phrase."""
+    low = folded if fold else str.lower
+    return [tuple(re.findall(r"[^\W_]+", low(w))) for w in re.findall(r"\w+", query)]
 
 
-def _begins(prefix: str):
-    return lambda token: token.startswith(prefix)
+def _ends(tokens: Column, phrase: tuple[str, ...]):
+    """Whether the phrase ends at a token."""
+    def at(token: Column, i: Column) -> Column:
+        ok = token.startswith(phrase[-1])
+        for back, word in enumerate(reversed(phrase[:-1]), 1):
+            ok = ok & (F.get(tokens, i - back) == word)
+        return ok
+
+    return at if len(phrase) > 1 else lambda token: token.startswith(phrase[0])
 
 
 def _weighed(weight: float):
     return lambda token: F.struct(token.alias("word"), F.lit(weight).alias("k"))
 
 
-def chunk_words(chunks: DataFrame, words: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """(chunk_id, len, f0, f1, ...): each chunk's token count and weighted frequency of each prefix; one row per chunk_id."""
+def chunk_words(chunks: DataFrame, phrases: list[tuple[str, ...]], weights: dict[str, float] | None = None, fold: bool = True) -> DataFrame:
+    """(chunk_id, len, f0, f1, ...): each chunk's token count and weighted frequency of each phrase; one row per chunk_id."""
     weights = weights or WEIGHTS
     rows = chunks.select("chunk_id", *weights).dropDuplicates(["chunk_id"])
     for field in weights:
-        rows = rows.withColumn(field, tokens(F.col(field)))
+        rows = rows.withColumn(field, tokens(F.col(field), fold))
     length = sum((F.size(f) for f in weights), F.lit(0))
     cols = [length.cast("long").alias("len")]
-    for i, w in enumerate(words):
-        cols.append(sum((F.size(F.filter(F.col(f), _begins(w))) * F.lit(k) for f, k in weights.items()), F.lit(0.0)).alias(f"f{i}"))
+    for i, p in enumerate(phrases):
+        cols.append(sum((F.size(F.filter(F.col(f), _ends(F.col(f), p))) * F.lit(k) for f, k in weights.items()), F.lit(0.0)).alias(f"f{i}"))
     return rows.select("chunk_id", *cols)
 
 
-def bm25(chunks: DataFrame, query: str, weights: dict[str, float] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, query: str, weights: dict[str, float] | None = None, allowed: DataFrame | None = None, fold: bool = True) -> DataFrame:
     """(chunk_id, fts_rank) of all chunks that hold every word of the query.
 
     ``allowed`` (chunk_id) restricts the result, not the statistics. A query
-    without a word, like an empty table, gives no rows. One pass collects the
+    without a word or with a lone ``_``, like an empty table, gives no rows.
+    Diacritics are folded on both sides unless ``fold`` is off. One pass collects the
     statistics (a row), one scores; neither shuffles postings.
     """
-    words = query_words(query)
-    if not words:
+    words = query_phrases(query, fold)
+    if not words or not all(words):
         return chunks.sparkSession.createDataFrame([], "chunk_id long, fts_rank double")
-    counted = chunk_words(chunks, words, weights)
+    counted = chunk_words(chunks, words, weights, fold)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(words))]).first()
     total, average = stats["n"], stats["avg"] or 1.0
     score = F.lit(0.0)
@@ -82,10 +90,10 @@ def normalised(rank):
     return F.abs(rank) / (1 + F.abs(rank))
 
 
-def build_postings(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
+def build_postings(chunks: DataFrame, stemmed: bool = True, fold: bool = True) -> DataFrame:
     """(term, chunk_id, wtf, len): the inverted index, to be written sorted by term; the stemmer sees distinct words only."""
     rows = chunks.select("chunk_id", *WEIGHTS).dropDuplicates(["chunk_id"])
-    every = F.concat(*[F.transform(tokens(F.col(f)), _weighed(k)) for f, k in WEIGHTS.items()])
+    every = F.concat(*[F.transform(tokens(F.col(f), fold), _weighed(k)) for f, k in WEIGHTS.items()])
     flat = rows.select("chunk_id", every.alias("all")).select("chunk_id", F.size("all").alias("len"), F.explode("all").alias("t"))
     counted = flat.groupBy("chunk_id", "len", F.col("t.word").alias("word")).agg(F.sum("t.k").alias("wtf"))
     if not stemmed:

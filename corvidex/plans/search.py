@@ -38,7 +38,7 @@ def keyword_search(query: str, chunks: DataFrame, documents: DataFrame, k: int =
     return rank_list(full, [F.col("fts_rank"), F.col("chunk_id")]).select((F.col("rank") + 1).alias("rank"), "chunk_id", "doc_path", "heading", normalised(F.col("fts_rank")).alias("bm25"), "fts_rank", "text")
 
 
-def hybrid_search(query: str, embedding: list[float], chunks: DataFrame, vectors: DataFrame, documents: DataFrame, k: int = 5, threshold: float = 0.001, prefilter: bool = False) -> DataFrame:
+def hybrid_search(query: str, embedding: list[float], chunks: DataFrame, vectors: DataFrame, documents: DataFrame, k: int = 5, threshold: float = 0.001, prefilter: bool = False, fold: bool = True) -> DataFrame:
     """The best k chunks of both lists, fused.
 
     tag: filters act below retrieval; the others act on the fused candidates (3k,
@@ -61,7 +61,7 @@ def hybrid_search(query: str, embedding: list[float], chunks: DataFrame, vectors
     near = knn(vectors.select("chunk_id", "embedding"), embedding, allowed=allowed).orderBy("distance", "chunk_id")
     near = rank_list(near.limit(fetch), [F.col("distance"), F.col("chunk_id")])
     near = near.select(F.lit(0).alias("list_idx"), F.lit("vec").alias("kind"), F.lit(1.0).alias("weight"), "chunk_id", "rank", (1 - F.col("distance")).alias("score"), "distance", F.lit(None).cast("double").alias("fts_rank"))
-    words = rank_list(bm25(chunks, clean, allowed=allowed).orderBy("fts_rank", "chunk_id").limit(fetch), [F.col("fts_rank"), F.col("chunk_id")])
+    words = rank_list(bm25(chunks, clean, allowed=allowed, fold=fold).orderBy("fts_rank", "chunk_id").limit(fetch), [F.col("fts_rank"), F.col("chunk_id")])
     words = words.select(F.lit(1).alias("list_idx"), F.lit("fts").alias("kind"), F.lit(1.0).alias("weight"), "chunk_id", "rank", normalised(F.col("fts_rank")).alias("score"), F.lit(None).cast("double").alias("distance"), "fts_rank")
     order = [F.desc("rrf_score"), F.col("best_rank"), F.col("chunk_id")]
     fused = fuse(near.unionByName(words)).withColumn("rrf_score", F.round("rrf_score", 9)).orderBy(*order).limit(cut)

@@ -30,32 +30,37 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack(_documents(spark, sf_dir), "doc_id", "tags")
 
 
-# --- keyword retrieval
+# --- keyword retrieval; the SQL of all but bm25_folded keeps diacritics, so these do
 
 
 def bm25_topk(s, d):
-    hits = fts.bm25(_chunks(s, d), TERMS, {"text": 1.0}).select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
+    hits = fts.bm25(_chunks(s, d), TERMS, {"text": 1.0}, fold=False).select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
     return hits.orderBy("fts_rank", "chunk_id").limit(20)
 
 
 def bm25_weighted_fields(s, d):
-    hits = fts.bm25(_chunks(s, d), TERMS).select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
+    hits = fts.bm25(_chunks(s, d), TERMS, fold=False).select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
     return hits.orderBy("fts_rank", "chunk_id").limit(20)
 
 
 def bm25_all_matches(s, d):
-    return fts.bm25(_chunks(s, d), "wor gate").select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
+    return fts.bm25(_chunks(s, d), "wor gate", fold=False).select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
+
+
+def bm25_folded(s, d):
+    """All matches, diacritics folded, as keyword_search and the hybrid plan have it."""
+    return fts.bm25(_chunks(s, d), TERMS).select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
 
 
 def bm25_filtered_global_idf(s, d):
     allowed = _documents(s, d).where("lang = 'en'").select("doc_id").join(_chunks(s, d), "doc_id").select("chunk_id")
-    hits = fts.bm25(_chunks(s, d), TERMS, {"text": 1.0}, allowed).select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
+    hits = fts.bm25(_chunks(s, d), TERMS, {"text": 1.0}, allowed, fold=False).select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
     return hits.orderBy("fts_rank", "chunk_id").limit(20)
 
 
 def bm25_norm_best_per_doc(s, d):
     paths = _chunks(s, d).select("chunk_id", "doc_path").dropDuplicates(["chunk_id"])
-    hits = fts.bm25(_chunks(s, d), TERMS, {"text": 1.0}).join(paths, "chunk_id")
+    hits = fts.bm25(_chunks(s, d), TERMS, {"text": 1.0}, fold=False).join(paths, "chunk_id")
     return hits.groupBy("doc_path").agg(F.round(F.max(fts.normalised(F.col("fts_rank"))), 9).alias("best"))
 
 
@@ -65,7 +70,7 @@ def bm25_shortcut_decision(s, d):
 
 
 def term_document_frequency(s, d):
-    return fts.build_postings(_chunks(s, d), stemmed=False).groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("wtf").alias("weight"))
+    return fts.build_postings(_chunks(s, d), stemmed=False, fold=False).groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("wtf").alias("weight"))
 
 
 _BM25 = """
@@ -165,17 +170,17 @@ b as (select *, case when best = 0 then 0.05 when best <= 2 then 0.02 else 0.0 e
 
 
 def hybrid_search(s, d):
-    found = search.hybrid_search(TERMS, _some_vector(s, d), _chunks(s, d), _vectors(s, d), _documents(s, d), 10)
+    found = search.hybrid_search(TERMS, _some_vector(s, d), _chunks(s, d), _vectors(s, d), _documents(s, d), 10, fold=False)
     return found.select("rank", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), "sources", "doc_path")
 
 
 def hybrid_threshold_no_backfill(s, d):
-    found = search.hybrid_search(TERMS, _some_vector(s, d), _chunks(s, d), _vectors(s, d), _documents(s, d), 10, threshold=0.9)
+    found = search.hybrid_search(TERMS, _some_vector(s, d), _chunks(s, d), _vectors(s, d), _documents(s, d), 10, threshold=0.9, fold=False)
     return found.select("chunk_id", F.round("rrf_score", 6).alias("rrf_score"))
 
 
 def hybrid_search_filtered(s, d):
-    found = search.hybrid_search(f'type:markdown dt>"2025-06-01" {TERMS}', _some_vector(s, d), _chunks(s, d), _vectors(s, d), _documents(s, d), 10)
+    found = search.hybrid_search(f'type:markdown dt>"2025-06-01" {TERMS}', _some_vector(s, d), _chunks(s, d), _vectors(s, d), _documents(s, d), 10, fold=False)
     return found.select("chunk_id", F.round("rrf_score", 6).alias("rrf_score"))
 
 
@@ -403,7 +408,7 @@ def windowed_events(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (hybrid_search, hybrid_threshold_no_backfill, hybrid_search_filtered, bm25_topk, bm25_weighted_fields, bm25_all_matches, bm25_filtered_global_idf, bm25_norm_best_per_doc, bm25_shortcut_decision,
+    plain = (hybrid_search, hybrid_threshold_no_backfill, hybrid_search_filtered, bm25_topk, bm25_weighted_fields, bm25_all_matches, bm25_folded, bm25_filtered_global_idf, bm25_norm_best_per_doc, bm25_shortcut_decision,
              term_document_frequency, knn_cosine_topk, knn_cosine_filtered, centroid_per_label, similar_docs, best_of_two_vec, rrf_two_list, rrf_multi_list, rank_bonus, tag_histogram, type_counts, type_rollup,
              ext_histogram, corpus_stats, doc_listing, stale_char_counts, fts_path, embedding_text, doc_title, snippet, format_size, md_table, json_rows, chunk_plain_pack, chunk_markdown_sections, heading_ancestry,
              incremental_diff, orphan_chunks, reused_chunks, incremental_diff_all, orphan_chunks_all, reused_chunks_all, unchanged_docs, dup_chunks_by_hash, context_assembly, source_dedupe, ignore_patterns, size_guard, windowed_events)
@@ -426,6 +431,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": _bm25_sql(TERMS, _TEXT, _TOP.format("")),
         "bm25_weighted_fields": _bm25_sql(TERMS, fts.WEIGHTS, _TOP.format("")),
         "bm25_all_matches": _bm25_sql("wor gate", fts.WEIGHTS, "select chunk_id, round(r, 9) as fts_rank from h"),
+        "bm25_folded": _bm25_sql(TERMS, fts.WEIGHTS, "select chunk_id, round(r, 9) as fts_rank from h").replace("lower(coalesce", "translate(lower(coalesce").replace(", '')), '[", f", '')), '{tx.ACCENTED + tx.MARKS}', '{tx.BARE}'), '["),
         "bm25_filtered_global_idf": _bm25_sql(TERMS, _TEXT, _TOP.format("where doc_id in (select doc_id from documents where lang = 'en')")),
         "bm25_norm_best_per_doc": _bm25_sql(TERMS, _TEXT, "select doc_path, round(max(abs(r) / (1 + abs(r))), 9) as best from h group by 1"),
         "bm25_shortcut_decision": _bm25_sql(TERMS, _TEXT, ", b as (select doc_path, round(max(abs(r) / (1 + abs(r))), 9) as best from h group by 1), o as (select best, row_number() over (order by best desc) as k from b) select coalesce(max(best) >= 0.8 and max(best) - coalesce(max(case when k = 2 then best end), 0) >= 0.001, false) as shortcut from o"),

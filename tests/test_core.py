@@ -60,6 +60,19 @@ def test_bm25_matches_sqlite(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("query", ["rec", "réc", "naïve cafe", "foo_bar", "foo_ba rec", "й", "Ærø", "_ rec", "Å_x"])
+def test_bm25_folds_as_unicode61(spark, query):
+    texts = ["réclame récit", "RECORD foo bar", "re\u0301cit foo_barn", "foo x bar", "bar foo", "naïve café", "NAIVE Cafeteria", "йод", "иод", "ærø ÆRØ", "ǽrø", "ångström x", "Å x", "rec", "ế e", "plain"] + ["filler word"] * 8
+    rows = [(i, 1, t, "foo" if i % 5 == 0 else "récent" if i % 7 == 0 else "", "", "d/x.md", "d/bar" if i % 3 == 0 else "d/é") for i, t in enumerate(texts, 1)]
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table f using fts5(p, h, t, tokenize='unicode61')")
+    db.executemany("insert into f(rowid, p, h, t) values (?, ?, ?, ?)", [(r[0], r[6], r[3], r[2]) for r in rows])
+    match = " AND ".join(f'"{w}"*' for w in query.split())
+    want = dict(db.execute("select rowid, bm25(f, 10.0, 2.0, 1.0) from f where f match ?", (match,)))
+    got = {r["chunk_id"]: r["fts_rank"] for r in fts.bm25(spark.createDataFrame(rows, CHUNK), query).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
 def test_bm25_edges(spark):
     rows = spark.createDataFrame([(1, 1, None, None, None, None, None), (2, 1, "", "", "", "", "")], CHUNK)
     assert fts.bm25(rows, "alpha").count() == 0
