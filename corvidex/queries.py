@@ -380,13 +380,22 @@ def dup_chunks_by_hash(s, d):
 # --- answers, files, events
 
 
-def context_assembly(s, d):
-    """Each query's three best hits as one numbered context."""
-    top = _hits(s, d).where("hit_pos <= 3").select("query_id", "hit_pos", "doc_path", "text").distinct()
+def _contexts(s, d, keep: int) -> DataFrame:
+    top = _hits(s, d).where(F.col("hit_pos") <= keep).select("query_id", "hit_pos", "doc_path", "text").distinct()
     block = F.concat(F.lit("["), F.col("hit_pos").cast("string"), F.lit("] "), F.col("doc_path"), F.lit("\n"), F.col("text"))
     return top.groupBy("query_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hit_pos", block.alias("b")))), lambda x: x["b"]), "\n\n")).alias("h"))
 
 
+def context_assembly(s, d):
+    """Each query's three best hits as one numbered context."""
+    return _contexts(s, d, 3)
+
+
+def context_assembly_full(s, d):
+    """Each query's five best hits as one numbered context, as many as an answer is given."""
+    return _contexts(s, d, 5)
+
+
 def source_dedupe(s, d):
     rows = _hits(s, d).groupBy("query_id", "doc_path").agg(F.min("hit_pos").alias("first_pos"))
     return rows.select("query_id", "doc_path", F.expr("cast(row_number() over (partition by query_id order by first_pos, doc_path) as bigint)").alias("source_rank"))
@@ -411,7 +420,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (hybrid_search, hybrid_threshold_no_backfill, hybrid_search_filtered, bm25_topk, bm25_weighted_fields, bm25_all_matches, bm25_folded, bm25_filtered_global_idf, bm25_norm_best_per_doc, bm25_shortcut_decision,
              term_document_frequency, knn_cosine_topk, knn_cosine_filtered, centroid_per_label, similar_docs, best_of_two_vec, rrf_two_list, rrf_multi_list, rank_bonus, tag_histogram, type_counts, type_rollup,
              ext_histogram, corpus_stats, doc_listing, stale_char_counts, fts_path, embedding_text, doc_title, snippet, format_size, md_table, json_rows, chunk_plain_pack, chunk_markdown_sections, heading_ancestry,
-             incremental_diff, orphan_chunks, reused_chunks, incremental_diff_all, orphan_chunks_all, reused_chunks_all, unchanged_docs, dup_chunks_by_hash, context_assembly, source_dedupe, ignore_patterns, size_guard, windowed_events)
+             incremental_diff, orphan_chunks, reused_chunks, incremental_diff_all, orphan_chunks_all, reused_chunks_all, unchanged_docs, dup_chunks_by_hash, context_assembly, context_assembly_full, source_dedupe, ignore_patterns, size_guard, windowed_events)
     return {"p3_found": p3_found} | {f.__name__: f for f in plain} | {name: _filter(q) for name, (q, _) in FILTERS.items()}
 
 
@@ -475,6 +484,7 @@ def oracle_sql() -> dict[str, str]:
         "unchanged_docs": "select doc_id from (select doc_id, content_hash, lag(content_hash) over (partition by path order by doc_id) as b from documents) where content_hash = b",
         "dup_chunks_by_hash": "select content_hash, count(*) as n, min(chunk_id) as first_id from (select distinct chunk_id, content_hash from chunks) group by 1 having count(*) > 1",
         "context_assembly": "select query_id, md5(string_agg('[' || hit_pos || '] ' || doc_path || chr(10) || text, chr(10) || chr(10) order by hit_pos)) as h from (select distinct query_id, hit_pos, doc_path, text from search_hits where hit_pos <= 3) group by 1",
+        "context_assembly_full": "select query_id, md5(string_agg('[' || hit_pos || '] ' || doc_path || chr(10) || text, chr(10) || chr(10) order by hit_pos)) as h from (select distinct query_id, hit_pos, doc_path, text from search_hits where hit_pos <= 5) group by 1",
         "source_dedupe": "select query_id, doc_path, row_number() over (partition by query_id order by p, doc_path) as source_rank from (select query_id, doc_path, min(hit_pos) as p from search_hits group by 1, 2)",
         "ignore_patterns": "select doc_id from documents where not (path like '%.log' or starts_with(path, 'drafts/') or path like '%.bak.%' or path like 'archive/2024/%')",
         "size_guard": "select doc_id from documents where size_bytes <= 4000 or path = 'shared/journal/shift-journal.md'",

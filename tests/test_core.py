@@ -273,6 +273,16 @@ def test_history_compares_all_versions(spark, tmp_path):
     assert run("reused_chunks_all") == [(20,), (21,), (30,), (31,), (40,)]
 
 
+def test_context_of_five_passages(spark, tmp_path):
+    from hashlib import md5
+
+    from corvidex import queries
+
+    spark.createDataFrame([(q, p, f"d/{p}", f"t{p}") for q, n in ((1, 7), (2, 2)) for p in range(1, n + 1)], "query_id long, hit_pos long, doc_path string, text string").write.parquet(f"{tmp_path}/search_hits.parquet")
+    got = {r["query_id"]: r["h"] for r in queries.queries()["context_assembly_full"](spark, str(tmp_path)).collect()}
+    assert got == {q: md5("\n\n".join(f"[{p}] d/{p}\nt{p}" for p in range(1, n + 1)).encode()).hexdigest() for q, n in ((1, 5), (2, 2))}
+
+
 def test_entry_runs_without_llm(spark):
     import __spark_entry__ as e
 
