@@ -5,10 +5,11 @@ page were read as another, so each byte (or byte sequence) stands for another
 letter throughout. The corpus is a mixture of clean words and of words under
 such ciphers. Expectation-maximization against the bigrams of the languages
 estimates the mixture: which cipher each word is under (E), how frequent each
-cipher is, the bigrams of the clean text, and what each cipher's symbols stand
-for (M). Symbol-to-letter mappings begin at the public code-page tables, since
-a garbled stretch may be a single word; the symbols' counts then decide which
-of the mappings are kept, and translate() applies them.
+cipher is and the bigrams of the clean text (M). What a cipher's symbols stand
+for is not estimated: the mappings are those of the public code-page tables,
+since a garbled stretch may be a single word. A cipher is a page of READ_AS with
+one of MEANT_AS, or UTF-16; text meant in another page (iso8859_5,
+mac_cyrillic, cp852, cp1254, big5 among them) is not found.
 
 Work is done on distinct words (maximal runs without ASCII white space) that
 hold a character beyond ASCII; all counts cover all rows. What reaches the
@@ -218,7 +219,7 @@ def readings(word: str) -> dict[str, str]:
 
 
 class Model:
-    """Clean bigrams, cipher frequencies and the symbol mappings that EM has kept."""
+    """Clean bigrams and cipher frequencies; the ciphers themselves are fixed."""
 
     def __init__(self, bigrams: Bigrams, share: dict[str, dict[str, float]], clean: dict[str, float]):
         self.bigrams = bigrams
