@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-WORD = re.compile(r"[^ \t\n\r\f\v]*[^\x00-\x7f][^ \t\n\r\f\v]*")
+WORD = re.compile(r"[^ \t\n\r\f\x0b]*[^\x00-\x7f][^ \t\n\r\f\x0b]*")  # in Java \v would be more than \x0b
 # fixed values: the pages through which bytes may have been read, and the ones they may have been meant in
 READ_AS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_15", "mac_cyrillic", "gbk", "cp932", "big5")
 MEANT_AS = ("utf_8", "cp1252", "cp1250", "cp1251", "koi8_r", "cp866", "mac_roman", "cp437", "cp850", "iso8859_2", "cp932", "euc_jp", "gbk")

@@ -59,6 +59,16 @@ def test_encoding_finds_frequent_garbling(spark):
     assert {x["word"]: x["reading"] for x in encoding.garbled_words(values).collect()} == bad
 
 
+def test_repair_ways_cut_words_alike(spark):
+    word = "хохот".encode().decode("latin-1")  # with two U+0085
+    texts = [f"a {word} b", f"{word}\u2028{word}", f"x\x0b{word}\x0by"]
+    values = encoding._values([("chunks", spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"), "chunk_id", "text")])
+    found = spark.createDataFrame([("chunks", w, "c", "r") for w in (word, f"{word}\u2028{word}")], "tab string, word string, cipher string, reading string")
+    want = {0: "a r b", 1: "r", 2: "x\x0br\x0by"}
+    for limit in (10, 0):
+        assert {x["row_id"]: x["repaired"] for x in encoding.repair(values, found, limit).collect()} == want
+
+
 def test_readings_round_trip():
     for page in ("cp1252", "cp1251", "mac_roman", "cp437"):
         text = "résumé" if page != "cp1251" else "réglé"
