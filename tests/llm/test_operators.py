@@ -69,6 +69,31 @@ def test_repair_ways_cut_words_alike(spark):
         assert {x["row_id"]: x["repaired"] for x in encoding.repair(values, found, limit).collect()} == want
 
 
+def test_encoding_learns_a_page_that_no_list_has(spark):
+    """A source read through a permuted page: what its symbols stand for is learned from their neighbours."""
+    r = random.Random(21)
+    words = "bâtiment château gâteau réglage échéance tâche modèle général résumé déjà année répétée mémoire élève problème système première dernière très après même fenêtre hôpital forêt contrôle côté bientôt français leçon façade reçu garçon idée clé été protégé vérifié fermé café thé marché qualité santé sécurité activité réunion février téléphone énergie étape détail début".split()
+    other = "für über können müssen größe ändern später nächste prüfen schließen Menü Gerät".split()
+    page = dict(zip("éèêâôç", "¦¶Þþ§¤"))
+    rows = [(i, f"s{i % 3}", " ".join(r.choice(words + other + ["the", "plan"]) for _ in range(40))) for i in range(240)]
+    garbled = [(1000 + i, "Odd Source", " ".join(r.choice(words) for _ in range(12))) for i in range(60)]
+    polish = [(2000 + i, "legal", " ".join(r.choice(["łódź", "żółty", "też", "już", "ręka", "święto", "książka", "dziękuję", "miesiąc", "wąż"]) for _ in range(12))) for i in range(60)]
+    df = spark.createDataFrame(rows + polish + [(i, s, t.translate(str.maketrans(page))) for i, s, t in garbled], "chunk_id long, source string, text string")
+    values = encoding._values([("chunks", cluttered(df), "chunk_id", "text", "source")])
+    got = {x["row_id"]: x["repaired"] for x in encoding.repair(values, encoding.garbled_words(values)).collect()}
+    assert got == {i: t for i, _, t in garbled if t.translate(str.maketrans(page)) != t}
+
+
+def test_tables_and_bytes_read_alike():
+    """Substitution of whole batches gives the readings that bytes give, word by word."""
+    words = ["r‚glage", "Œ®áª¢ ", "öÔÏÔ", "naÃ¯ve", "žluť", "ŠŽ", "текст", "ÏÐÈÂÅÒ", "ﬁn", "abc¬"]
+    for word in words:
+        both = encoding.readings(word)
+        rest = encoding.readings(word, tables=False)
+        one = {y for z in encoding.TABLES.values() if not encoding._BAD.search(y := word.translate(encoding.table_of(z))) and all(ord(c) in encoding.table_of(z) for c in word)}
+        assert set(both.values()) - set(rest.values()) <= one | {word}
+
+
 def test_readings_round_trip():
     for page in ("cp1252", "cp1251", "mac_roman", "cp437"):
         text = "résumé" if page != "cp1251" else "réglé"
