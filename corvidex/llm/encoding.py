@@ -358,10 +358,10 @@ class Model:
                 out[ok, at[TABLES[read, meant]]] = np.where(score > -1e5, score, -np.inf)
         return out
 
-    def read(self, tabs: list[str], sources: list[str], words: list[str], counts: list[int]) -> list[tuple]:
-        """(tab, source, word, n, cipher, text, whether in doubt) of the words whose best reading is likelier than that they are clean.
+    def read(self, tabs: list[str], sources: list[str], words: list[str], counts: list[int], all_counts: list[int]) -> list[tuple]:
+        """(tab, source, word, n, cipher, text, n_all, whether in doubt) of the words whose best reading is likelier than that they are clean.
 
-        In doubt is a reading that is likelier only by the counts of the other words.
+        In doubt is a reading that is likelier only by the counts of the other words; n_all counts the word in all sources.
         """
         if not words:
             return []
@@ -411,9 +411,9 @@ class Model:
             if found is None:
                 continue
             if found[2] > here[i]:
-                out.append((*key, word, counts[i], *found[:2], False))
-            elif unlikely[i] and found[2] > self.base_of(*key) + self.bigrams.score_without(word, counts[i]) + 3:  # unlikely, though itself among the counts
-                out.append((*key, word, counts[i], *found[:2], True))
+                out.append((*key, word, counts[i], *found[:2], all_counts[i], False))
+            elif unlikely[i] and found[2] > self.base_of(*key) + self.bigrams.score_without(word, all_counts[i]) + 3:  # unlikely, though itself among the counts
+                out.append((*key, word, counts[i], *found[:2], all_counts[i], True))
         return out
 
 
@@ -478,23 +478,23 @@ _FOUND = ["tab", "source", "word", "n", "cipher", "reading"]
 def _expect(words: DataFrame, model: Model) -> DataFrame:
     """E step: (tab, source, word, n, cipher, reading) of the words that are likelier garbled than clean."""
     shared = words.sparkSession.sparkContext.broadcast(model)
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             rows, rest = [], []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if LOST in row[2]:
-                    rows.append((*row, "lost", row[2], False))
+                    rows.append((*row[:4], "lost", row[2], row[4], False))
                 else:
                     rest.append(row)
-            yield _rows_of(rows + (model.read(*map(list, zip(*rest))) if rest else []), [*_FOUND, "doubt"], kinds)
+            yield _rows_of(rows + (model.read(*map(list, zip(*rest))) if rest else []), [*_FOUND, "n_all", "doubt"], kinds)
 
-    read_all = materialize(words.mapInArrow(read, FOUND + ", doubt boolean"), "encoding-readings")
+    read_all = materialize(words.select(*_FOUND[:4], "n_all").mapInArrow(read, FOUND + ", n_all long, doubt boolean"), "encoding-readings")
     # a doubtful reading holds if it is itself a word that is seen more often
-    held = read_all.where("doubt").join(_seen(words), ["tab", "reading"]).where("seen > n")
-    return read_all.where("not doubt").drop("doubt").unionByName(held.select(*_FOUND))
+    held = read_all.where("doubt").join(_seen(words), ["tab", "reading"]).where("seen > n_all")
+    return read_all.where("not doubt").select(*_FOUND).unionByName(held.select(*_FOUND))
 
 
 def _seen(words: DataFrame) -> DataFrame:
@@ -661,7 +661,8 @@ def garbled_words(values: DataFrame, rounds: int = 3) -> DataFrame:
     spark = values.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, -(-words.count() // 50_000))
     # a word's rows stand together, so that it is read once
-    words = materialize(words.repartition(parts, "word").sortWithinPartitions("word"), "encoding-words")
+    every = F.expr("sum(n) over (partition by tab, word)").alias("n_all")
+    words = materialize(words.repartition(parts, "word").select("*", every).sortWithinPartitions("word"), "encoding-words")
     clean = {r["tab"]: float(r["n"]) for r in words.groupBy("tab").agg(F.sum("n").alias("n")).collect()}
     start = Bigrams(pairs.column("code").to_numpy(), pairs.column("n").to_numpy(), chars)
     model = Model(start, {}, {}, clean)
