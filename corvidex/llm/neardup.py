@@ -1,26 +1,34 @@
 """Near-duplicate records with small edits (problem 4).
 
 Method: generalised pigeonhole over sparse binary vectors. A text's bits are
-its distinct word sequences of length n; Jaccard >= t between two texts of a
-and b bits means that their Hamming distance is at most (1-t)/(1+t) * (a+b).
-
-* Partitions. Correlated bits (sequences that overlap in the text) are grouped
-  by content: a sequence belongs to the partition of the one of its words with
-  the smallest hash, so both texts group alike and an edit spoils few
-  partitions. A partition's signature is the hash of its bits. Where the
-  distance allowed exceeds the number of such partitions (t under 0.75) no
-  allocation of thresholds over groups can exist, and each bit is a partition.
-* Allocation. Each partition gets threshold 0 (probe it) or -1 (skip it), such
-  that the thresholds plus one sum to more than the distance allowed. With one
-  unit to be had per partition the dynamic program over estimated candidate
-  counts has a closed optimum: the cheapest partitions. Counts come from a
-  summary of the frequent signatures of all texts, of bounded size, that every
-  text shares, so both sides of a pair agree on the order.
-* Probe and verify. Texts that share a probed signature, fit in size and can
-  still reach the overlap from their positions on are verified exactly.
-
-Exact copies are one class from the start (64-bit digest of the text), so a
-group of copies of any size costs as much as one text per task that meets it.
+its distinct word sequences of length n. Jaccard >= t means that of a text's a
+bits at most D = a - ceil(t a) are missing in the other text.
+
+* Partitions and thresholds. Cut a text's bits into any partitions (sequences
+  that overlap in the text are correlated and fall together) and give partition
+  g a threshold r_g from -1 up, such that the sum of r_g + 1 exceeds D. Then
+  some partition misses at most r_g bits in the other text, so among any r_g + 1
+  bits of it one is common: those are probed.
+* Allocation. Probing r + 1 bits of a partition costs the candidates of its
+  r + 1 rarest bits. A dynamic program over partitions minimises the sum; as a
+  partition's next unit never costs less than the one before, its optimum takes
+  the cheapest units of all partitions in order, whatever the partitions are
+  (tests compare it with the program itself). ``allocate`` does that for whole
+  batches. D + 1 units suit partners of any size; with one of like size more bits
+  must be common, and as many hits as the units then exceed need, HITS at most,
+  are asked of a pair.
+* Counts are estimated once from all texts; the frequent ones are kept in a
+  summary of bounded size that every text shares, so that both sides of a pair
+  take their units in one order, and each need only probe its own.
+* Probe and verify. Texts that share enough probed bits, fit in size and can
+  still reach the overlap from their positions on are verified exactly. A bit
+  estimated to be in over BLOCK texts is probed in blocks: one side is cut up,
+  the other goes to every block.
+
+Exact copies are one class from the start (64-bit digest of the text: of a
+thousand million texts two differing ones fall together with a chance of a few
+per cent), so a group of copies of any size costs as much as one text per task
+that meets it.
 """
 
 from __future__ import annotations
@@ -35,11 +43,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .pairs import expand_pairs
+from .pairs import components, expand_pairs
 from .words import WordHashes, mix64, ngram_hashes, word_hashes, words
 
 FREQUENT = 262_144
 HITS = 4
+BLOCK = 20_000
 _BUFFER = 1 << 21
 
 
@@ -51,45 +60,14 @@ def sequences(texts: list[str], n: int, cache: WordHashes) -> tuple[np.ndarray,
     return h, ngram_hashes(h, n), lengths
 
 
-def signed(texts: list[str], n: int, least: int, grouped: bool, cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, number of the text of each, distinct bits of each text; 0 for texts under ``least`` words).
-
-    Signatures of a text may repeat unless grouped.
-    """
-    h, g, lengths = sequences(texts, n, cache)
+def signed(texts: list[str], n: int, least: int, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, number of the text of each), bits of a text may repeat; none of texts under ``least`` words."""
+    _, g, lengths = sequences(texts, n, cache)
     starts = np.cumsum(lengths) - lengths
-    if not grouped:
-        of = np.repeat(np.arange(len(texts)), lengths)[: len(g)]
-        inside = np.arange(len(g)) + n <= (starts + lengths)[of]
-        inside &= (lengths >= least)[of]
-        return g[inside], of[inside], lengths
-    sigs, n_bits = [], np.zeros(len(texts), np.int64)
-    for i, (s, e) in enumerate(zip(starts.tolist(), (starts + lengths).tolist())):
-        bits, anchor = bits_of(h[s:e], g[s : max(s, e - n + 1)], n, True) if e - s >= max(n, least) else (g[:0], g[:0])
-        n_bits[i] = len(bits)
-        sigs.append(signatures(bits, anchor, True))
-    return np.concatenate([*sigs, g[:0]]), np.repeat(np.arange(len(texts)), [len(x) for x in sigs]), n_bits
-
-
-def bits_of(h: np.ndarray, g: np.ndarray, n: int, grouped: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct n-word hashes, the smallest word hash in each if grouped)."""
-    if not grouped or not len(g):
-        return np.unique(g), g[:0]
-    low = h[: len(g)]
-    for k in range(1, n):
-        low = np.minimum(low, h[k : k + len(g)])
-    g, first = np.unique(g, return_index=True)
-    return g, low[first]
-
-
-def signatures(bits: np.ndarray, anchor: np.ndarray, grouped: bool) -> np.ndarray:
-    """One distinct signature per partition that holds a bit."""
-    if not grouped or not len(bits):
-        return bits
-    order = np.argsort(anchor, kind="stable")
-    starts = np.flatnonzero(np.concatenate(([True], np.diff(anchor[order].view(np.int64)) != 0)))
-    with np.errstate(over="ignore"):
-        return np.unique(mix64(np.add.reduceat(mix64(bits[order]), starts)))
+    of = np.repeat(np.arange(len(texts)), lengths)[: len(g)]
+    inside = np.arange(len(g)) + n <= (starts + lengths)[of]
+    inside &= (lengths >= least)[of]
+    return g[inside], of[inside]
 
 
 def ordered(sig: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -103,35 +81,38 @@ def ordered(sig: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray
     return (step << np.uint64(56)) | (sig >> np.uint64(8))
 
 
-def allocate(name: np.ndarray, of: np.ndarray, n_bits: np.ndarray, texts: int, threshold: float, grouped: bool):
-    """The cheapest partitions of each text: (name, text, place in the shared order, bits of the text).
-
-    With thresholds 0 and -1 only, the dynamic program's optimum is the first
-    ``probe_units`` of the distinct signatures in order.
-    """
+def allocate(name: np.ndarray, of: np.ndarray, texts: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The cheapest units of each text: (name, text, place in the shared order, bits of the text)."""
     order = np.lexsort((name, of))
     name, of = name[order], of[order]
     if len(name):
         new = np.concatenate(([True], (name[1:] != name[:-1]) | (of[1:] != of[:-1])))
         name, of = name[new], of[new]
     held = np.bincount(of, minlength=texts)
-    if not grouped:
-        n_bits = held
-    units = np.array([probe_units(int(b), int(m), threshold, grouped) if m else 0 for b, m in zip(n_bits, held)], np.int64)
+    units = held - np.ceil(threshold * held - 1e-9).astype(np.int64) + 1
     place = np.arange(len(of)) - (np.cumsum(held) - held)[of]
     keep = place < units[of]
-    return name[keep], of[keep], place[keep], n_bits[of[keep]]
-
-
-def probe_units(n_bits: int, n_sig: int, threshold: float, grouped: bool) -> int:
-    """How many partitions must be probed so that no text similar enough can miss all of them."""
-    if grouped:  # a partition that differs takes one unit of distance; the largest partner allows most
-        return min(n_sig, math.floor(n_bits * (1 - threshold) / threshold + 1e-9) + 1)
-    return n_bits - math.ceil(threshold * n_bits - 1e-9) + 1
+    return name[keep], of[keep], place[keep], held[of[keep]]
+
+
+def in_blocks(name, cls, size, place, role, is_hot: np.ndarray, blocks: dict[int, int]):
+    """Probes of hot bits, cut into blocks: as x (role 1) a text stands in one block of its bit, as y (role 2) in all of them."""
+    at = np.flatnonzero(is_hot)
+    n = np.fromiter((blocks[x] for x in name[at].tolist()), np.int64, len(at))
+    own = (mix64(cls[at].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+    every = np.repeat(at, n)
+    block = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+    cold = np.flatnonzero(~is_hot)
+    rows = np.concatenate((cold, at, every))
+    part = np.concatenate((np.zeros(len(cold), np.int64), own + 1, block + 1)).astype(np.uint64)
+    role = np.concatenate((role[cold], np.full(len(at), 1, np.int8), np.full(len(every), 2, np.int8)))
+    with np.errstate(over="ignore"):
+        moved = np.where(part > 0, mix64(name[rows] + part * np.uint64(0x9E3779B97F4A7C15)), name[rows])
+    return moved, cls[rows], size[rows], place[rows], role
 
 
-def _frequent(rows: DataFrame, n: int, min_words: int, grouped: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent signatures of all texts with their counts; tasks keep at most FREQUENT each between buffers."""
+def _frequent(rows: DataFrame, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent bits of all texts with their counts; tasks keep at most FREQUENT each between buffers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, parts, held = WordHashes(), [], 0
@@ -149,7 +130,7 @@ def _frequent(rows: DataFrame, n: int, min_words: int, grouped: bool) -> tuple[n
             parts, held = [], 0
 
         for batch in batches:
-            parts.append(signed(batch.column(0).to_pylist(), n, min_words, grouped, cache)[0])
+            parts.append(signed(batch.column(0).to_pylist(), n, min_words, cache)[0])
             held += len(parts[-1])
             if held >= _BUFFER:
                 fold()
@@ -173,14 +154,17 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, thres
     pair, though ids names them. Rows repeated whole count once.
     """
     spark = df.sparkSession
-    grouped = threshold >= 0.75
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0")
     rows = rows.withColumn("cls", F.xxhash64("text"))
-    table = spark.sparkContext.broadcast(_frequent(rows, n, min_words, grouped))  # at most FREQUENT entries
+    table = spark.sparkContext.broadcast(_frequent(rows, n, min_words))  # at most FREQUENT entries
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = table.value
         cache, seen = WordHashes(), set()
+        names = ordered(keys.view(np.uint64), keys, counts)
+        hot = counts > BLOCK
+        blocks = dict(zip(names[hot].tolist(), np.ceil(counts[hot] / BLOCK).astype(int).tolist()))
+        hot_names = np.sort(names[hot])
         for batch in batches:
             new = {}
             for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -188,23 +172,26 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, thres
                     new[cls] = text
             if len(seen) < 1_000_000:
                 seen.update(new)
-            sig, of, n_bits = signed(list(new.values()), n, min_words, grouped, cache)
-            name, of, place, size = allocate(ordered(sig, keys, counts), of, n_bits, len(new), threshold, grouped)
+            sig, of = signed(list(new.values()), n, min_words, cache)
+            name, of, place, size = allocate(ordered(sig, keys, counts), of, len(new), threshold)
             cls = np.fromiter(new, np.int64, len(new))[of]
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(cls), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))], names=["sig", "cls", "size", "place"])
-
-    probes = rows.select("cls", "text").mapInArrow(emit, "sig long, cls long, size int, place int")
-    probes = probes.repartition("sig").dropDuplicates(["sig", "cls"])
+            role = np.full(len(name), 3, np.int8)
+            if len(hot_names) and (is_hot := hot_names[np.minimum(np.searchsorted(hot_names, name), len(hot_names) - 1)] == name).any():
+                name, cls, size, place, role = in_blocks(name, cls, size, place, role, is_hot, blocks)
+            for s in range(0, len(name), 500_000):
+                e = slice(s, s + 500_000)
+                yield pa.RecordBatch.from_arrays([pa.array(name[e].view(np.int64)), pa.array(cls[e]), pa.array(size[e].astype(np.int32)), pa.array(place[e].astype(np.int32)), pa.array(role[e])], names=["sig", "cls", "size", "place", "role"])
+
+    probes = rows.select("cls", "text").mapInArrow(emit, "sig long, cls long, size int, place int, role byte")
+    probes = probes.repartition("sig").dropDuplicates(["sig", "cls", "role"])
     # x is the smaller text (ties: the smaller digest). A pair of a and b bits needs ``overlap`` common ones; of those,
     # ``k`` stand among the first size - overlap + k of either text, as the probed bits of both stand in one order.
     t = F.lit(threshold)
     fits = ((F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.cls") < F.col("y.cls")))) & (F.col("x.size") >= t * F.col("y.size") - 1e-9)
-    k = F.lit(1)
-    if not grouped:
-        overlap = F.ceil(t / (1 + t) * (F.col("x.size") + F.col("y.size")) - 1e-9)
-        spare = [overlap - F.ceil(t * F.col(f"{side}.size") - 1e-9) + 1 for side in "xy"]
-        k = F.least(F.lit(HITS), overlap, *spare)
-        fits &= (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) > overlap - k)
+    overlap = F.ceil(t / (1 + t) * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    spare = [overlap - F.ceil(t * F.col(f"{side}.size") - 1e-9) + 1 for side in "xy"]
+    k = F.least(F.lit(HITS), overlap, *spare)
+    fits &= (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) > overlap - k) & (F.col("x.role") != 2) & (F.col("y.role") != 1)
     ties = (
         probes.alias("x").join(probes.alias("y"), (F.col("x.sig") == F.col("y.sig")) & fits)
         .groupBy(F.col("x.cls").alias("cls_a"), F.col("y.cls").alias("cls_b"))
@@ -247,6 +234,10 @@ def small(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _members(chunks: DataFrame) -> DataFrame:
+    return chunks.where("chunk_id is not null").where(has_words("text", 20)).select(F.xxhash64("text").alias("cls"), F.col("chunk_id").cast("long").alias("id")).distinct()
+
+
 def has_words(text: str, least: int) -> Column:
     return F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{N}]+")) >= least
 
@@ -279,9 +270,29 @@ def p4_classes(spark, sf_dir: str) -> DataFrame:
 
     chunks = table(spark, sf_dir, "chunks")
     pairs, _ = similar_classes(chunks, "chunk_id", "text", n=3, threshold=0.5, min_words=20)
-    members = materialize(chunks.where("chunk_id is not null").where(has_words("text", 20)).select(F.xxhash64("text").alias("cls"), F.col("chunk_id").cast("long").alias("id")).distinct(), "neardup-members")
+    members = materialize(_members(chunks), "neardup-members")
     heads = members.groupBy("cls").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
     ends = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("near"))
     paths = chunks.groupBy(F.col("chunk_id").cast("long").alias("id")).agg(F.max("doc_path").alias("doc_path"))
     out = members.join(heads, "cls").join(ends, "cls", "left").join(paths, "id", "left")
     return out.select(F.col("id").alias("chunk_id"), "doc_path", "class_id", (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("links"))
+
+
+def p4_groups(spark, sf_dir: str) -> DataFrame:
+    """Each chunk of at least 20 words with its group: chunks tied by a chain of similar or equal texts, named by the smallest chunk_id.
+
+    ``group_size`` counts the chunks of the group; a chunk tied to none is a group of one.
+    """
+    from ..session import table
+
+    chunks = table(spark, sf_dir, "chunks")
+    pairs, _ = similar_classes(chunks, "chunk_id", "text", n=3, threshold=0.5, min_words=20)
+    members = materialize(_members(chunks), "neardup-members")
+    heads = members.groupBy("cls").agg(F.min("id").alias("rep"))
+    ends = pairs.join(heads.select(F.col("cls").alias("cls_a"), F.col("rep").alias("a")), "cls_a").join(heads.select(F.col("cls").alias("cls_b"), F.col("rep").alias("b")), "cls_b")
+    roots = components(ends.select("a", "b"))
+    out = members.join(heads, "cls").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("group_id"))
+    out = materialize(out, "neardup-groups")
+    sizes = out.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
+    paths = chunks.groupBy(F.col("chunk_id").cast("long").alias("id")).agg(F.max("doc_path").alias("doc_path"))
+    return out.join(sizes, "group_id").join(paths, "id", "left").select(F.col("id").alias("chunk_id"), "doc_path", "group_id", "group_size")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _digested(df: DataFrame, id_col: str, text_col: str, keep: Column | None) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
@@ -47,12 +49,41 @@ def expand_pairs(pairs: DataFrame, members: DataFrame, a: str, b: str, class_lim
         members.where(small).select("rep", F.col("id").alias("x"))
         .join(members.where(small).select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
     ).unionByName(members.where(~small).where("rep <> id").select(F.col("rep").alias("x"), F.col("id").alias("y")))
+    heads = members.where("rep = id").select("rep", "n")
     one = F.coalesce(F.col("n"), F.lit(1))
-    left = pairs.select(F.col(a).alias("ra"), F.col(b).alias("rb"))
-    left = left.join(members.select(F.col("rep").alias("ra"), F.col("id").alias("ia"), "n"), "ra", "left").select(
-        "ra", "rb", F.coalesce("ia", "ra").alias("x"), one.alias("na"))
-    both = left.join(members.select(F.col("rep").alias("rb"), F.col("id").alias("ib"), "n"), "rb", "left").select(
-        "ra", "rb", "x", "na", F.coalesce("ib", "rb").alias("y"), one.alias("nb"))
-    across = both.where((F.greatest("na", "nb") <= class_limit) | (F.col("x") == F.col("ra")) | (F.col("y") == F.col("rb"))).select("x", "y")
+    sized = pairs.select(F.col(a).alias("ra"), F.col(b).alias("rb"))
+    for side in ("a", "b"):
+        sized = sized.join(heads.withColumnRenamed("rep", f"r{side}"), f"r{side}", "left").withColumn(f"n{side}", one).drop("n")
+    sized = sized.withColumn("star", F.greatest("na", "nb") > class_limit)
+    left = sized.join(members.select(F.col("rep").alias("ra"), F.col("id").alias("ia")), "ra", "left").withColumn("x", F.coalesce("ia", "ra"))
+    # a star's second half starts from its representative alone, before the other class is written out
+    both = left.where("not star or x = ra").join(members.select(F.col("rep").alias("rb"), F.col("id").alias("ib")), "rb", "left").select("x", F.coalesce("ib", "rb").alias("y"))
+    across = both.unionByName(left.where("star").select("x", F.col("rb").alias("y")))
     every = across.unionByName(inside)
     return every.select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b)).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): each node of ``edges`` (a, b) with the smallest node its chain of edges reaches.
+
+    Alternates large and small stars (Kiveris et al., 2014): every round hangs a
+    node's neighbours onto its smallest one, until nothing moves. Each round is
+    written to the shared folder; rounds grow with the logarithm of the nodes.
+    """
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "component-edges")
+
+    def star(e: DataFrame, both_ways: bool) -> DataFrame:
+        around = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both_ways else e
+        least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        hung = around.join(least, "u")
+        if both_ways:  # larger neighbours onto the smallest
+            return hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+    while True:
+        after = materialize(star(star(now, True), False), "component-edges")
+        same = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = after
+        if same:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

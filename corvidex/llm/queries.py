@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_neighbours": knn.p2_neighbours,
         "p4_found": neardup.p4_found,
         "p4_classes": neardup.p4_classes,
+        "p4_groups": neardup.p4_groups,
         "p5_found": splitting.p5_found,
         "p5_pieces": splitting.p5_pieces,
         "p6_found": leakage.p6_found,

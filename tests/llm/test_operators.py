@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvidex.llm import encoding, knn, leakage, mixing, neardup, spans, splitting
-from corvidex.llm.pairs import expand_pairs
+from corvidex.llm.pairs import components, expand_pairs
 
 NAMES = [f"{a}{b}{c}" for a in ("vra", "klu", "sto", "mei") for b in ("nd", "lt", "rk", "pr", "st") for c in ("us", "eim", "ova", "in", "ag")]
 
@@ -188,6 +188,52 @@ def test_near_duplicates_equal_brute_force(spark, n, t, least):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("block", [20_000, 5])
+def test_near_duplicates_of_few_words(spark, block, monkeypatch):
+    """A vocabulary of four words ties many sequences to one word; hot bits are probed in blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    r = random.Random(6)
+    rows = []
+    for i in range(60):
+        base = [r.choice("abcd") for _ in range(60)]
+        edited = base[:]
+        edited[r.randrange(60)] = r.choice("abcd")
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited))]
+    pairs, ids = neardup.similar_classes(spark.createDataFrame(rows, "chunk_id long, text string"), "chunk_id", "text")
+    named = {x["cls"]: x["id"] for x in ids.collect()}
+    text = dict(rows)
+    got = {tuple(sorted((named[x["cls_a"]], named[x["cls_b"]]))) for x in pairs.collect()}
+    assert got == {p for p in jaccard_pairs(rows, 5, 0.8, 1) if text[p[0]] != text[p[1]]}
+
+
+def test_cheapest_units_are_the_programs_optimum():
+    """Unequal thresholds by dynamic programming over partitions cost what the cheapest units in order cost."""
+    r = random.Random(16)
+    for _ in range(200):
+        groups = [sorted(r.randint(0, 30) for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 6))]
+        bits = sorted(c for g in groups for c in g)
+        units = r.randint(0, len(bits))
+        best = {0: 0}
+        for g in groups:  # r_g + 1 units of a partition cost its rarest bits
+            best = {u: min(best[u - k] + sum(g[:k]) for k in range(len(g) + 1) if u - k in best) for u in range(units + 1) if any(u - k in best for k in range(len(g) + 1))}
+        assert best[units] == sum(bits[:units])
+
+
+def test_components(spark):
+    r = random.Random(17)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(50)]
+    root = {}
+    for a, b in edges:
+        for x in (a, b):
+            root.setdefault(x, x)
+    for _ in range(60):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: y for x, y in root.items() if any(a != b and x in (a, b) for a, b in edges)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_hot_group_of_copies_is_a_star_beyond_the_limit(spark):
     members = spark.createDataFrame([(1, i, 6) for i in (1, 2, 3, 4, 5, 6)] + [(10, i, 2) for i in (10, 11)], "rep long, id long, n long")
     pairs = spark.createDataFrame([(1, 10)], "a long, b long")
