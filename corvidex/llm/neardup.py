@@ -191,7 +191,9 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, thres
     overlap = F.ceil(t / (1 + t) * (F.col("x.size") + F.col("y.size")) - 1e-9)
     spare = [overlap - F.ceil(t * F.col(f"{side}.size") - 1e-9) + 1 for side in "xy"]
     k = F.least(F.lit(HITS), overlap, *spare)
-    fits &= (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) > overlap - k) & (F.col("x.role") != 2) & (F.col("y.role") != 1)
+    fits &= (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) > overlap - k) 
+    # of both sides at once, as a condition on one would part the two scans of the probes
+    fits &= F.col("x.role").bitwiseAND(F.lit(1)) * F.shiftright(F.col("y.role").cast("int"), 1) > 0
     ties = (
         probes.alias("x").join(probes.alias("y"), (F.col("x.sig") == F.col("y.sig")) & fits)
         .groupBy(F.col("x.cls").alias("cls_a"), F.col("y.cls").alias("cls_b"))
