@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-HEADING = r"(?dU)^(#{1,6})\s+(.+?)$"
+# fixed value: what counts as a heading line
+HEADING = r"^(#{1,6})\s+(.+?)$"
+PARTS = "doc_id long, section int, text string, heading string, heading_ancestry string"
 
 
 def pack(text, limit: int):
@@ -28,39 +34,63 @@ def pack(text, limit: int):
     return F.when(text.isNull(), F.array().cast("array<string>")).when(F.length(text) <= limit, F.array(text)).otherwise(folded)
 
 
-def chunk_plain(documents: DataFrame, limit: int = 2000, least: int = 50) -> DataFrame:
+def with_overlap(parts: DataFrame, limit: int) -> DataFrame:
+    """Chunks that repeat the last max(50, limit // 7) characters of the one before them in their section, from a word's start on."""
+    n = max(50, limit // 7)
+    w = Window.partitionBy("doc_id", "section").orderBy("part")
+    tail = F.expr(f"right(lag(text) over (partition by doc_id, section order by part), {n})")
+    tail = F.when(F.length(tail) < n, tail).otherwise(F.regexp_replace(tail, r"(?s)^\S*\s+(?=\S)", ""))
+    return parts.withColumn("text", F.when(F.row_number().over(w) > 1, F.concat(tail, F.lit("\n"), F.col("text"))).otherwise(F.col("text")))
+
+
+def chunk_plain(documents: DataFrame, limit: int = 2000, least: int = 50, overlap: bool = False) -> DataFrame:
     """(doc_id, chunk_index, text, heading, heading_ancestry): packed paragraphs of at least ``least`` characters."""
-    parts = documents.where("text is not null").select("doc_id", F.posexplode(F.filter(F.transform(pack(F.col("text"), limit), strip), lambda t: F.length(t) >= least)).alias("chunk_index", "text"))
-    return parts.select("doc_id", "chunk_index", "text", F.lit(None).cast("string").alias("heading"), F.lit("").alias("heading_ancestry"))
+    parts = documents.where("text is not null").select("doc_id", F.lit(0).alias("section"), F.posexplode(F.filter(F.transform(pack(F.col("text"), limit), strip), lambda t: F.length(t) >= least)).alias("part", "text"))
+    parts = with_overlap(parts, limit) if overlap else parts
+    return parts.select("doc_id", F.col("part").alias("chunk_index"), "text", F.lit(None).cast("string").alias("heading"), F.lit("").alias("heading_ancestry"))
 
 
 def sections(documents: DataFrame) -> DataFrame:
     """(doc_id, section, text, heading, heading_ancestry): one row per heading and its lines, section 0 before the first.
 
-    The heading path is found per line with running last values: level L is in
-    force where its last position is after the last of every higher level.
+    Section 0 is there whenever a line stands before the first heading. The path
+    of a heading names the nearest lower level before it, that one's, and so on.
+    Each text is cut where it lies, so nothing is shuffled.
     """
-    lines = documents.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    lines = lines.withColumn("level", F.length(F.regexp_extract("body", HEADING, 1))).withColumn("name", strip(F.regexp_extract("body", HEADING, 2)))
-    w = Window.partitionBy("doc_id").orderBy("line")
-    lines = lines.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(w))
-    heads = lines.where("level > 0").select("doc_id", "section", "level", "name")
-    h = Window.partitionBy("doc_id").orderBy("section")
-    last = [F.last(F.when(F.col("level") == k, F.struct("section", "name")), ignorenulls=True).over(h).alias(f"h{k}") for k in range(1, 7)]
-    heads = heads.select("doc_id", "section", "name", *last)
-    path = []
-    for k in range(1, 7):
-        above = F.greatest(*[F.coalesce(F.col(f"h{i}.section"), F.lit(-1)) for i in range(1, k)], F.lit(-1)) if k > 1 else F.lit(-1)
-        path.append(F.when(F.col(f"h{k}.section") > above, F.col(f"h{k}.name")))
-    heads = heads.select("doc_id", "section", F.col("name").alias("heading"), F.array_join(F.filter(F.array(*path), lambda x: x.isNotNull()), " > ").alias("heading_ancestry"))
-    bodies = lines.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), "\n").alias("text"))
-    return bodies.join(heads, ["doc_id", "section"], "left").select("doc_id", "section", strip(F.col("text")).alias("text"), "heading", F.coalesce("heading_ancestry", F.lit("")).alias("heading_ancestry"))
-
-
-def chunk_markdown(documents: DataFrame, limit: int = 2000, least: int = 50) -> DataFrame:
+    heading = re.compile(HEADING)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            ids = batch.column(0)
+            at: list[int] = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                path: dict[int, str] = {}
+                number, name, first, lines = 0, None, 0, text.split("\n")
+                for k, line in enumerate([*lines, None]):
+                    m = heading.match(line) if line is not None else None
+                    if m is None and line is not None:
+                        continue
+                    if k > first or number:  # what stands before the first heading may be nothing
+                        out.append((number, "\n".join(lines[first:k]).strip(), name, " > ".join(path[x] for x in sorted(path))))
+                        at.append(i)
+                    if m:
+                        level, name = len(m[1]), m[2].strip()
+                        path = {x: y for x, y in path.items() if x < level} | {level: name}
+                        number, first = number + 1, k
+            cols = list(zip(*out)) if out else [[]] * 4
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "section", "text", "heading", "heading_ancestry"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.where("text is not null").select("doc_id", F.col("text").cast("string")).mapInArrow(cut, PARTS.replace("long", kind, 1))
+
+
+def chunk_markdown(documents: DataFrame, limit: int = 2000, least: int = 50, overlap: bool = False) -> DataFrame:
     """(doc_id, chunk_index, text, heading, heading_ancestry): sections, packed where they exceed ``limit``, short ones dropped."""
     parts = sections(documents).select("doc_id", "section", "heading", "heading_ancestry", F.posexplode(pack(F.col("text"), limit)).alias("part", "text"))
     parts = parts.where(F.length(strip(F.col("text"))) >= least)
+    parts = with_overlap(parts, limit) if overlap else parts
     w = Window.partitionBy("doc_id").orderBy("section", "part")
     return parts.select("doc_id", (F.row_number().over(w) - 1).alias("chunk_index"), "text", "heading", "heading_ancestry")
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,16 +43,10 @@ def _ends(tokens: Column, phrase: tuple[str, ...]):
     return at if len(phrase) > 1 else lambda token: token.startswith(phrase[0])
 
 
-def _weighed(weight: float):
-    return lambda token: F.struct(token.alias("word"), F.lit(weight).alias("k"))
-
-
 def chunk_words(chunks: DataFrame, phrases: list[tuple[str, ...]], weights: dict[str, float] | None = None, fold: bool = True) -> DataFrame:
-    """(chunk_id, len, f0, f1, ...): each chunk's token count and weighted frequency of each phrase; one row per chunk_id."""
+    """(chunk_id, len, f0, f1, ...): each chunk's token count and weighted frequency of each phrase; rows repeated whole stay."""
     weights = weights or WEIGHTS
-    rows = chunks.select("chunk_id", *weights).dropDuplicates(["chunk_id"])
-    for field in weights:
-        rows = rows.withColumn(field, tokens(F.col(field), fold))
+    rows = chunks.select("chunk_id", *[tokens(F.col(f), fold).alias(f) for f in weights])
     length = sum((F.size(f) for f in weights), F.lit(0))
     cols = [length.cast("long").alias("len")]
     for i, p in enumerate(phrases):
@@ -58,30 +54,37 @@ def chunk_words(chunks: DataFrame, phrases: list[tuple[str, ...]], weights: dict
     return rows.select("chunk_id", *cols)
 
 
+def _ranked(counted: DataFrame, n_words: int, total: int, average: float, matching: list[int]) -> DataFrame:
+    """(chunk_id, fts_rank) of the rows that hold every phrase, from each phrase's number of chunks."""
+    score, every = F.lit(0.0), F.lit(True)
+    for i in range(n_words):
+        idf = math.log((total - matching[i] + 0.5) / (matching[i] + 0.5))
+        f = F.col(f"f{i}")
+        score = score + F.lit(idf if idf > 0 else LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(float(average))))
+        every = every & (f > 0)
+    return counted.where(every).select("chunk_id", (-score).alias("fts_rank"))
+
+
+def _none(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "chunk_id long, fts_rank double")
+
+
 def bm25(chunks: DataFrame, query: str, weights: dict[str, float] | None = None, allowed: DataFrame | None = None, fold: bool = True) -> DataFrame:
-    """(chunk_id, fts_rank) of all chunks that hold every word of the query.
+    """(chunk_id, fts_rank) of all chunks that hold every word of the query, unstemmed, from the texts themselves.
 
     ``allowed`` (chunk_id) restricts the result, not the statistics. A query
     without a word or with a lone ``_``, like an empty table, gives no rows.
-    Diacritics are folded on both sides unless ``fold`` is off. One pass collects the
-    statistics (a row), one scores; neither shuffles postings.
+    Diacritics are folded on both sides unless ``fold`` is off. Texts are never
+    shuffled: repeated chunks are dropped from the counts, for the statistics, and
+    from the matches. With a stored index, search_postings() reads no text at all.
     """
     words = query_phrases(query, fold)
     if not words or not all(words):
-        return chunks.sparkSession.createDataFrame([], "chunk_id long, fts_rank double")
+        return _none(chunks)
     counted = chunk_words(chunks, words, weights, fold)
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(words))]).first()
-    total, average = stats["n"], stats["avg"] or 1.0
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        n = stats[f"n{i}"] or 0
-        idf = math.log((total - n + 0.5) / (n + 0.5))
-        f = F.col(f"f{i}")
-        score = score + F.lit(idf if idf > 0 else LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(float(average))))
-    every = F.lit(True)
-    for i in range(len(words)):
-        every = every & (F.col(f"f{i}") > 0)
-    hits = counted.where(every).select("chunk_id", (-score).alias("fts_rank"))
+    once = counted.groupBy("chunk_id").agg(F.first("len").alias("len"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(len(words))])
+    stats = once.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(words))]).first()
+    hits = _ranked(counted, len(words), stats["n"], stats["avg"] or 1.0, [stats[f"n{i}"] or 0 for i in range(len(words))]).dropDuplicates(["chunk_id"])
     return hits.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi") if allowed is not None else hits
 
 
@@ -90,18 +93,84 @@ def normalised(rank):
     return F.abs(rank) / (1 + F.abs(rank))
 
 
-def build_postings(chunks: DataFrame, stemmed: bool = True, fold: bool = True) -> DataFrame:
-    """(term, chunk_id, wtf, len): the inverted index, to be written sorted by term; the stemmer sees distinct words only."""
-    rows = chunks.select("chunk_id", *WEIGHTS).dropDuplicates(["chunk_id"])
-    every = F.concat(*[F.transform(tokens(F.col(f), fold), _weighed(k)) for f, k in WEIGHTS.items()])
-    flat = rows.select("chunk_id", every.alias("all")).select("chunk_id", F.size("all").alias("len"), F.explode("all").alias("t"))
-    counted = flat.groupBy("chunk_id", "len", F.col("t.word").alias("word")).agg(F.sum("t.k").alias("wtf"))
-    if not stemmed:
-        return counted.select(F.col("word").alias("term"), "chunk_id", "wtf", "len")
+# --- the inverted index
 
-    def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(term=b["word"].map(stem))
+FIELD = 1 << 24  # a place is the field's number times this, plus the token's position
+
+
+def build_postings(chunks: DataFrame, stemmed: bool = True, fold: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, chunk_id, len, wtf, places, keep..): the inverted index, to be written sorted by term.
+
+    ``wtf`` is the frequency weighted by field, ``len`` the chunk's tokens in all
+    fields, ``places`` the sorted places for phrases. Repeated chunks count once,
+    after their texts have been cut into words in place; the stemmer runs over the
+    distinct words of a batch.
+    """
+    fields = list(WEIGHTS)
 
-    vocabulary = counted.select("word").distinct().mapInPandas(stems, "word string, term string")
-    return counted.join(vocabulary, "word").groupBy("term", "chunk_id", "len").agg(F.sum("wtf").alias("wtf")).select("term", "chunk_id", "wtf", "len")
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low = folded if fold else str.lower
+        stems: dict[str, str] = {}
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                at: dict[str, list[int]] = {}
+                weight: dict[str, float] = {}
+                length = 0
+                for i, f in enumerate(fields):
+                    found = re.findall(r"[^\W_]+", low(getattr(row, f) or ""))
+                    length += len(found)
+                    for k, word in enumerate(found):
+                        if stemmed:
+                            if (term := stems.get(word)) is None:
+                                if len(stems) > 500_000:
+                                    stems.clear()
+                                term = stems[word] = stem(word)
+                        else:
+                            term = word
+                        at.setdefault(term, []).append(i * FIELD + k)
+                        weight[term] = weight.get(term, 0.0) + WEIGHTS[f]
+                out += [(t, row.chunk_id, length, weight[t], places, *[getattr(row, c) for c in keep]) for t, places in at.items()]
+            yield pd.DataFrame(out, columns=["term", "chunk_id", "len", "wtf", "places", *keep])
+
+    more = "".join(f", {c} {chunks.schema[c].dataType.simpleString()}" for c in keep)
+    flat = chunks.select("chunk_id", *fields, *[c for c in keep if c not in fields]).mapInPandas(cut, f"term string, chunk_id long, len int, wtf double, places array<int>{more}")
+    return flat.dropDuplicates(["term", "chunk_id"])
+
+
+def search_postings(postings: DataFrame, query: str, total: int, average: float, allowed: DataFrame | None = None, stemmed: bool = True, fold: bool = True) -> DataFrame:
+    """(chunk_id, fts_rank) of all chunks that hold every word of the query, from the inverted index.
+
+    ``total`` and ``average`` are the number of chunks and their mean length.
+    Query words are stemmed as the index is, then match as prefixes; a word that
+    ``_`` parts is a phrase. Only postings of matching terms are read (the
+    prefixes are pushed down to the scan); nothing but those is shuffled.
+    """
+    phrases = [tuple(stem(w) if stemmed else w for w in p) for p in query_phrases(query, fold)]
+    if not phrases or not all(phrases) or not total:
+        return _none(postings)
+    term = F.col("term")
+    wanted = reduce(or_, [term.startswith(p[-1]) for p in phrases] + [term == w for p in phrases for w in p[:-1]])
+    cols = []
+    for i, p in enumerate(phrases):
+        if len(p) == 1:
+            cols.append(F.sum(F.when(term.startswith(p[0]), F.col("wtf")).otherwise(0.0)).alias(f"f{i}"))
+        else:  # the places at which the last word's predecessors stand before it
+            cols += [F.flatten(F.collect_list(F.when(term.startswith(w) if last else term == w, F.col("places")))).alias(f"p{i}_{k}") for k, w in enumerate(p) for last in [k == len(p) - 1]]
+    hits = postings.where(wanted).groupBy("chunk_id").agg(F.first("len").alias("len"), *cols)
+    for i, p in enumerate(phrases):
+        if len(p) > 1:
+            ends = F.col(f"p{i}_{len(p) - 1}")
+            for k in range(len(p) - 1):
+                ends = F.array_intersect(ends, F.transform(F.col(f"p{i}_{k}"), lambda x, d=len(p) - 1 - k: x + d))
+            scores = F.transform(ends, lambda x: F.element_at(F.array(*[F.lit(w) for w in WEIGHTS.values()]), (F.floor(x / FIELD) + 1).cast("int")))
+            hits = hits.withColumn(f"f{i}", F.aggregate(scores, F.lit(0.0), lambda s, x: s + x))
+    stats = hits.agg(*[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(phrases))]).first()
+    found = _ranked(hits, len(phrases), total, average or 1.0, [stats[f"n{i}"] or 0 for i in range(len(phrases))])
+    return found.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi") if allowed is not None else found
+
+
+def lengths(postings: DataFrame) -> tuple[int, float]:
+    """(chunks, mean length) of an index, from its own chunk lengths; chunks without a token are not in it."""
+    r = postings.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
+    return r["n"], r["avg"] or 0.0

@@ -11,8 +11,8 @@ from .functions import text as tx
 from .operators import catalog, chunking, filters, fts, fusion, vector
 from .operators.packed import unpack
 from .plans import search
-from .session import table
-from .sources.files import ignored
+from .session import materialize, table
+from .sources.files import ignored, size_ok
 
 FLAGSHIP = "hybrid_search"
 TERMS = "stem rec"
@@ -94,6 +94,36 @@ def _bm25_sql(terms: str, weights: dict[str, float], tail: str) -> str:
 _TEXT = {"text": 1.0}
 _TOP = "select chunk_id, round(r, 9) as fts_rank from h {} order by 2, 1 limit 20"
 
+
+
+def _indexed(s, d) -> search.Index:
+    """The stored index of the chunks, unstemmed and unfolded as SQL can say it, cut and written as the catalog keeps it."""
+    chunks = _chunks(s, d)
+    postings = materialize(fts.build_postings(chunks, stemmed=False, fold=False).repartition("term").sortWithinPartitions("term", "chunk_id"), "postings")
+    total = chunks.select("chunk_id").distinct().count()
+    words = postings.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.sum("len")).first()[0] or 0
+    return search.Index(chunks, _vectors(s, d), _documents(s, d), postings, total, words / max(total, 1), False, False)
+
+
+def keyword_search(s, d):
+    """The keyword plan with a filter, on stored postings."""
+    index = _indexed(s, d)
+    found = search.keyword_search(f"type:m* {TERMS}", index.chunks, index.documents, 10, index)
+    return found.select("rank", "chunk_id", "doc_path", F.round("bm25", 6).alias("bm25"))
+
+
+def keyword_phrase(s, d):
+    """A word that ``_`` parts is a phrase whose last part is a prefix; all matches, from postings."""
+    index = _indexed(s, d)
+    return index.words("the_p").select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
+
+
+def keyword_stemmed(s, d):
+    """All matches on a stemmed and folded index; SQL has no stemmer, so tests compare it with SQLite's."""
+    postings = materialize(fts.build_postings(_chunks(s, d)), "postings")
+    return fts.search_postings(postings, "running records", *fts.lengths(postings)).select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
+
+
 # --- vectors
 
 
@@ -103,13 +133,13 @@ def _some_vector(s, d) -> list[float]:
 
 
 def knn_cosine_topk(s, d):
-    near = vector.knn(_vectors(s, d), _some_vector(s, d)).select("chunk_id", F.round("distance", 9).alias("distance"))
+    near = vector.knn(_vectors(s, d), _some_vector(s, d), k=20).select("chunk_id", F.round("distance", 9).alias("distance"))
     return near.orderBy("distance", "chunk_id").limit(20)
 
 
 def knn_cosine_filtered(s, d):
     allowed = _vectors(s, d).where("heading is not null")
-    near = vector.knn(_vectors(s, d), _some_vector(s, d), allowed=allowed).select("chunk_id", F.round("distance", 9).alias("distance"))
+    near = vector.knn(_vectors(s, d), _some_vector(s, d), allowed=allowed, k=20).select("chunk_id", F.round("distance", 9).alias("distance"))
     return near.orderBy("distance", "chunk_id").limit(20)
 
 
@@ -126,7 +156,7 @@ def best_of_two_vec(s, d):
     rows = _vectors(s, d).where(vector.usable(F.col("embedding"), WIDTH))
     a = [float(x) for x in rows.agg(F.min_by("embedding", "chunk_id")).first()[0]]
     b = vector.centroid_of(rows.dropDuplicates(["chunk_id"]), WIDTH)
-    lists = [vector.knn(_vectors(s, d), q).orderBy("distance", "chunk_id").limit(10) for q in (b, a)]
+    lists = [vector.knn(_vectors(s, d), q, k=10) for q in (b, a)]
     return vector.better_of(*lists).select("chunk_id", F.round("distance", 6).alias("distance"))
 
 
@@ -215,6 +245,10 @@ def _filter(query: str):
     return run
 
 
+def tagged_chunks(s, d):
+    return filters.tagged_chunks(_chunks(s, d), _documents(s, d), ("runbook",))
+
+
 _FILTERED = "select c.chunk_id, c.doc_path from (select distinct on (chunk_id) * from chunks order by chunk_id) c left join documents d on d.doc_id = c.doc_id where "
 _TAGS = "list_transform(string_split(coalesce(d.tags, ''), ','), lambda t: lower(trim(t, ' ')))"
 FILTERS = {
@@ -261,9 +295,8 @@ def corpus_stats(s, d):
 
 
 def doc_listing(s, d):
-    """The listing: one row per path, its last indexing, with a readable size."""
-    last = _documents(s, d).groupBy("path").agg(F.max_by(F.struct("type", "title", "size_bytes", "chunk_count"), "doc_id").alias("r"), F.count(F.lit(1)).alias("versions"))
-    return last.select("path", "r.type", "r.title", "r.chunk_count", "versions", (F.col("r.size_bytes") >= 1_000_000).alias("large"))
+    """The listing: one row per path, its last indexing, whether it is large."""
+    return catalog.latest(_documents(s, d)).select("path", "type", "title", "chunk_count", "versions", (F.col("size_bytes") >= 1_000_000).alias("large"))
 
 
 def stale_char_counts(s, d):
@@ -311,6 +344,17 @@ def chunk_markdown_sections(s, d):
     return chunking.sections(_documents(s, d).select("doc_id", "text")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum((F.col("heading").isNotNull()).cast("int")).alias("n_headed"))
 
 
+def chunk_markdown(s, d):
+    """Sections cut to 600 characters, short ones dropped, as they are indexed."""
+    return chunking.chunk_markdown(_documents(s, d).select("doc_id", "text"), 600).select("doc_id", "chunk_index", "heading", F.md5("text").alias("h"))
+
+
+def size_shown(s, d):
+    """Sizes as a listing shows them, in whole tenths."""
+    shown = F.split(tx.format_size(F.col("size_bytes")), " ")
+    return _documents(s, d).select("doc_id", F.round(F.element_at(shown, 1).cast("double") * 10).cast("long").alias("tenths"), F.element_at(shown, 2).alias("unit"))
+
+
 def heading_ancestry(s, d):
     return chunking.sections(_documents(s, d).select("doc_id", "text")).where("heading is not null").select("doc_id", "section", "heading", "heading_ancestry")
 
@@ -330,13 +374,11 @@ def incremental_diff(s, d):
 
 
 def orphan_chunks(s, d):
-    old, new = _versions(s, d)
-    return old.select("path", "content_hash", "chunk_id").join(new.select("path", "content_hash"), ["path", "content_hash"], "left_anti").select("chunk_id")
+    return catalog.orphans(*_versions(s, d)).select("chunk_id")
 
 
 def reused_chunks(s, d):
-    old, new = _versions(s, d)
-    return new.select("path", "content_hash", "chunk_id").join(old.select("path", "content_hash"), ["path", "content_hash"], "left_semi").select("chunk_id")
+    return catalog.reusable(*_versions(s, d)).select("chunk_id")
 
 
 # the same over the whole history: every indexing of a path against the one before it
@@ -358,19 +400,17 @@ def incremental_diff_all(s, d):
 def orphan_chunks_all(s, d):
     """Chunks of any earlier indexing that the path's last one does not have."""
     old, new = _history(s, d)
-    return old.select("path", "content_hash", "chunk_id").join(new.where("last").select("path", "content_hash"), ["path", "content_hash"], "left_anti").select("chunk_id")
+    return catalog.orphans(old, new.where("last")).select("chunk_id")
 
 
 def reused_chunks_all(s, d):
     """Chunks that the indexing before theirs had already."""
     old, new = _history(s, d)
-    keys = ["path", "version", "content_hash"]
-    return new.select(*keys, "chunk_id").join(old.select(*keys), keys, "left_semi").select("chunk_id")
+    return catalog.reusable(old, new, ("path", "version")).select("chunk_id")
 
 
 def unchanged_docs(s, d):
-    rows = _documents(s, d).select("doc_id", "content_hash", F.expr("lag(content_hash) over (partition by path order by doc_id)").alias("before"))
-    return rows.where("content_hash = before").select("doc_id")
+    return catalog.unchanged(_documents(s, d)).select("doc_id")
 
 
 def dup_chunks_by_hash(s, d):
@@ -381,9 +421,8 @@ def dup_chunks_by_hash(s, d):
 
 
 def _contexts(s, d, keep: int) -> DataFrame:
-    top = _hits(s, d).where(F.col("hit_pos") <= keep).select("query_id", "hit_pos", "doc_path", "text").distinct()
-    block = F.concat(F.lit("["), F.col("hit_pos").cast("string"), F.lit("] "), F.col("doc_path"), F.lit("\n"), F.col("text"))
-    return top.groupBy("query_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hit_pos", block.alias("b")))), lambda x: x["b"]), "\n\n")).alias("h"))
+    top = _hits(s, d).where(F.col("hit_pos") <= keep).select("query_id", F.col("hit_pos").alias("rank"), "doc_path", "text").distinct()
+    return search.context(top, ("query_id",), headed=False).select("query_id", F.md5("context").alias("h"))
 
 
 def context_assembly(s, d):
@@ -397,8 +436,7 @@ def context_assembly_full(s, d):
 
 
 def source_dedupe(s, d):
-    rows = _hits(s, d).groupBy("query_id", "doc_path").agg(F.min("hit_pos").alias("first_pos"))
-    return rows.select("query_id", "doc_path", F.expr("cast(row_number() over (partition by query_id order by first_pos, doc_path) as bigint)").alias("source_rank"))
+    return search.distinct_sources(_hits(s, d), ("query_id",))
 
 
 def ignore_patterns(s, d):
@@ -407,7 +445,7 @@ def ignore_patterns(s, d):
 
 
 def size_guard(s, d):
-    return _documents(s, d).where((F.col("size_bytes") <= 4000) | F.col("path").isin("shared/journal/shift-journal.md")).select("doc_id")
+    return _documents(s, d).where(size_ok(F.col("size_bytes"), F.col("path"), 4000 / 1024**2, ["shared/journal/shift-journal.md"])).select("doc_id")
 
 
 def windowed_events(s, d):
@@ -417,9 +455,9 @@ def windowed_events(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (hybrid_search, hybrid_threshold_no_backfill, hybrid_search_filtered, bm25_topk, bm25_weighted_fields, bm25_all_matches, bm25_folded, bm25_filtered_global_idf, bm25_norm_best_per_doc, bm25_shortcut_decision,
+    plain = (hybrid_search, hybrid_threshold_no_backfill, hybrid_search_filtered, bm25_topk, bm25_weighted_fields, bm25_all_matches, bm25_folded, bm25_filtered_global_idf, bm25_norm_best_per_doc, bm25_shortcut_decision, keyword_search, keyword_phrase, keyword_stemmed,
              term_document_frequency, knn_cosine_topk, knn_cosine_filtered, centroid_per_label, similar_docs, best_of_two_vec, rrf_two_list, rrf_multi_list, rank_bonus, tag_histogram, type_counts, type_rollup,
-             ext_histogram, corpus_stats, doc_listing, stale_char_counts, fts_path, embedding_text, doc_title, snippet, format_size, md_table, json_rows, chunk_plain_pack, chunk_markdown_sections, heading_ancestry,
+             ext_histogram, corpus_stats, doc_listing, stale_char_counts, fts_path, embedding_text, doc_title, snippet, format_size, md_table, json_rows, chunk_plain_pack, chunk_markdown_sections, heading_ancestry, chunk_markdown, size_shown, tagged_chunks,
              incremental_diff, orphan_chunks, reused_chunks, incremental_diff_all, orphan_chunks_all, reused_chunks_all, unchanged_docs, dup_chunks_by_hash, context_assembly, context_assembly_full, source_dedupe, ignore_patterns, size_guard, windowed_events)
     return {"p3_found": p3_found} | {f.__name__: f for f in plain} | {name: _filter(q) for name, (q, _) in FILTERS.items()}
 
@@ -434,6 +472,29 @@ r as (select distinct on (chunk_id) c.chunk_id, c.doc_id, c.chunk_index, c.conte
 o as (select * replace (version + 1 as version) from r where age > 1), n as (select * from r) """
 
 
+_LINES = """with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as b from documents where text is not null),
+m as (select *, regexp_matches(b, '^#{1,6}\\s+.+$') as is_h from l), n as (select *, sum(is_h::int) over (partition by doc_id order by i) as section from m),
+h as (select doc_id, i, section, length(regexp_extract(b, '^(#{1,6})\\s+(.+?)$', 1)) as lv, regexp_replace(regexp_extract(b, '^(#{1,6})\\s+(.+?)$', 2), '^\\s+|\\s+$', '', 'g') as name from n where is_h) """
+_BLANK = "[\\s\\p{Z}\\x{85}\\x0b\\x1c-\\x1f]+"
+
+
+def _stripped(text: str) -> str:
+    return f"regexp_replace({text}, '^{_BLANK}|{_BLANK}$', '', 'g')"
+
+
+def _packed(text: str, limit: int) -> str:
+    fold = (f"list_reduce(list_transform(string_split_regex({text}, '\\n\\n+'), lambda p: {{'done': []::varchar[], 'now': p}}), lambda a, b: case when length(a.now) + length(b.now) <= {limit} "
+            "then {'done': a.done, 'now': case when a.now = '' then b.now else a.now || chr(10) || chr(10) || b.now end} else {'done': case when a.now = '' then a.done else list_append(a.done, a.now) end, 'now': b.now} end)")
+    return f"case when length({text}) <= {limit} then [{text}] else list_filter(list_append(({fold}).done, ({fold}).now), lambda x: x <> '') end"
+
+
+_PHRASE = """with c as (select distinct on (chunk_id) * from chunks order by chunk_id),
+t as (select chunk_id, regexp_extract_all(lower(coalesce(fts_path, '')), '[\\p{L}\\p{N}]+') as tp, regexp_extract_all(lower(coalesce(heading, '')), '[\\p{L}\\p{N}]+') as th, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as tt from c),
+f as (select chunk_id, len(tp) + len(th) + len(tt) as len, """ + " + ".join(f"{k}::double * len(list_filter(range(1, len({t})), lambda i: {t}[i] = 'the' and starts_with({t}[i + 1], 'p')))" for t, k in (("tp", 10), ("th", 2), ("tt", 1))) + """ as f0 from t),
+s as (select avg(len) as a, greatest(ln((count(*) - sum((f0 > 0)::int) + 0.5) / (sum((f0 > 0)::int) + 0.5)), 1e-6) as i0 from f)
+select chunk_id, round(-(i0 * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / a))), 9) as fts_rank from f, s where f0 > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     hybrid = lambda fetch: _V + _HYBRID.replace("FETCH", str(fetch))
     return {name: _FILTERED + sql for name, (_, sql) in FILTERS.items()} | {
@@ -448,6 +509,19 @@ def oracle_sql() -> dict[str, str]:
             t as (select chunk_id, 10.0::double as k, unnest(regexp_extract_all(lower(fts_path), '[\\p{L}\\p{N}]+')) as term from c union all select chunk_id, 2.0, unnest(regexp_extract_all(lower(heading), '[\\p{L}\\p{N}]+')) from c
               union all select chunk_id, 1.0, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) from c)
             select term, count(distinct chunk_id) as n_chunks, sum(k) as weight from t group by term""",
+        "keyword_search": _bm25_sql(TERMS, fts.WEIGHTS, """, o as (select *, row_number() over (order by r, chunk_id) as place from h),
+            k as (select o.*, row_number() over (order by place) as rank from o left join documents d on d.doc_id = o.doc_id where place <= 50 and regexp_full_match(coalesce(d.type, ''), 'm.*'))
+            select rank::int as rank, chunk_id, doc_path, round(abs(r) / (1 + abs(r)), 6) as bm25 from k where rank <= 10"""),
+        "keyword_phrase": _PHRASE,
+        "tagged_chunks": f"select distinct c.chunk_id from chunks c join documents d on d.doc_id = c.doc_id where list_contains({_TAGS}, 'runbook')",
+        "heading_ancestry": _LINES + """select a.doc_id, a.section::int as section, any_value(a.name) as heading, string_agg(x.name, ' > ' order by x.i) as heading_ancestry from h a join h x on a.doc_id = x.doc_id and x.i <= a.i
+            and not exists (select 1 from h k where k.doc_id = a.doc_id and k.i > x.i and k.i <= a.i and k.lv <= x.lv) group by a.doc_id, a.section""",
+        "chunk_plain_pack": f"""with p as (select doc_id, list_filter(list_transform({_packed("text", 600)}, lambda x: {_stripped("x")}), lambda x: length(x) >= 50) as c from documents where text is not null)
+            select doc_id, (generate_subscripts(c, 1) - 1)::int as chunk_index, md5(unnest(c)) as h from p""",
+        "chunk_markdown": _LINES + f""", t as (select n.doc_id, n.section, {_stripped("string_agg(b, chr(10) order by n.i)")} as text, any_value(h.name) as heading from n left join h on h.doc_id = n.doc_id and h.section = n.section group by 1, 2),
+            p as (select doc_id, section, heading, {_packed("text", 600)} as c from t), q as (select doc_id, section, heading, generate_subscripts(c, 1) as part, unnest(c) as x from p)
+            select doc_id, (row_number() over (partition by doc_id order by section, part) - 1)::int as chunk_index, heading, md5(x) as h from q where length({_stripped("x")}) >= 50""",
+        "size_shown": "select doc_id, case when size_bytes >= 1000000 then round(round(size_bytes::double / 1000000, 1) * 10) when size_bytes >= 1000 then round(round(size_bytes::double / 1000, 1) * 10) else size_bytes * 10 end::bigint as tenths, case when size_bytes is null then null when size_bytes >= 1000000 then 'MB' when size_bytes >= 1000 then 'KB' else 'B' end as unit from documents",
         "knn_cosine_topk": _V + "select v.chunk_id, round(1 - list_cosine_similarity(v.e, q.e), 9) as distance from v, q order by 2, 1 limit 20",
         "knn_cosine_filtered": _V + "select v.chunk_id, round(1 - list_cosine_similarity(v.e, q.e), 9) as distance from v, q where heading is not null order by 2, 1 limit 20",
         "centroid_per_label": "with x as (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as pos from embeddings where len(embedding) = 64) select label, pos::int as pos, round(avg(x), 6) as value from x group by all",

@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FALLBACK: dict[str, str] = {}
+_LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` as the session has it.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is used.
+    Where the setting is absent, one process (master ``local``, as in tests) uses a
+    temporary folder that goes when it ends; a cluster has to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FALLBACK:
-        _LOCAL_FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="corvidex-")
-    return _LOCAL_FALLBACK[app]
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if app not in _LOCAL:
+        folder = tempfile.mkdtemp(prefix="corvidex-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[app] = "file://" + folder
+    return _LOCAL[app]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -31,9 +41,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that materialize() wrote in this process; DataFrames that were not consumed yet are then of no use."""
+    _delete(spark, _WRITTEN)
+    _WRITTEN.clear()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what materialize() wrote inside; for work whose result is stored elsewhere by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _delete(spark, _WRITTEN[before:])
+        del _WRITTEN[before:]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even partitions for rows that are small but costly each: adaptive coalescing, which goes by bytes, leaves these alone."""
     spark = df.sparkSession

@@ -38,6 +38,17 @@ def test_unpack_dialects(spark):
     assert unpack(df.limit(0), "doc_id", "tags").count() == 0
 
 
+def test_unpack_many_kinds_and_long_values(spark):
+    kinds = ["x1,x2", "x2;x3", "x3|x4", "x4\nx5", "x5\tx6", "x6，x7", "x7、x8", "x8；x9", "x9 • y1"]
+    mixed = "x1,x2;x3|x4\nx5\tx6，x7、x8；x9 • y1"
+    long = "ab, " * 60 + "end"
+    rows = [(i, k) for i, k in enumerate(kinds * 6)] + [(1000, mixed), (1001, f'"{long}";x1')] + [(1002 + i, f'"{long}";x{i}') for i in range(4)]
+    got = {}
+    for r in unpack(spark.createDataFrame(rows, "doc_id long, tags string"), "doc_id", "tags").where("doc_id >= 1000").orderBy("doc_id", "pos").collect():
+        got.setdefault(r["doc_id"], []).append(r["tag"])
+    assert got[1000] == [f"x{i}" for i in range(1, 10)] + ["y1"] and got[1001] == [long, "x1"]
+
+
 def test_unpack_very_long_field(spark):
     df = spark.createDataFrame([(1, ",".join(f"tag{i % 50}" for i in range(5000)))], "doc_id long, tags string")
     assert unpack(df, "doc_id", "tags").count() == 5000
@@ -196,12 +207,12 @@ def test_catalog_and_stream(spark, tmp_path):
         cat.read("documents")
     long = "A paragraph that is long enough to stay a chunk of its own, at least fifty characters."
     batch = spark.createDataFrame([(1, "a.md", long), (2, "b.md", long + "!"), (3, "c.md", None)], "doc_id long, path string, text string")
-    assert index_batch(cat, batch) == 1 and cat.read("chunks").count() == 2
+    assert index_batch(cat, batch).commit == 1 and cat.read("chunks").count() == 2
     batch.where("doc_id = 1").withColumn("text", F.lit(long + "\n\n" + "z" * 60)).write.parquet(f"{tmp_path}/in")
     q = start(cat, spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/ck")
     q.awaitTermination(120)
     assert cat.current() == 2 and cat.read("documents").count() == 2
-    assert {r["path"] for r in cat.read("chunks").collect()} == {"a.md", "b.md"}
+    assert {r["doc_path"] for r in cat.read("chunks").collect()} == {"a.md", "b.md"}
     cat.reset()
     assert cat.current() == 0
 
@@ -213,7 +224,8 @@ def test_windowed_counts(spark):
 
 def test_extractors(spark, tmp_path):
     assert files.html_text("<title>T</title><style>x</style><p>a &amp; b</p><!-- c --><div>d</div>") == "Ta & b\nd"
-    assert files.subtitle_text("WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.000\nHello\nNOTE x\n") == "Hello"
+    cues = spark.createDataFrame([("WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.000\nHello\nNOTE x\n\u00a042 men\n",)], "t string")
+    assert cues.select(files.subtitle_lines(F.col("t"))).first()[0] == "Hello\n42 men"
     assert files.extract(".eml", b"Subject: S\nFrom: a@b\n\nBody\n")[0] == "Subject: S\nFrom: a@b\n\nBody"
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
