@@ -162,7 +162,7 @@ def search_postings(postings: DataFrame, query: str, total: int, average: float,
         if len(p) > 1:
             ends = F.col(f"p{i}_{len(p) - 1}")
             for k in range(len(p) - 1):
-                ends = F.array_intersect(ends, F.transform(F.col(f"p{i}_{k}"), lambda x, d=len(p) - 1 - k: x + d))
+                ends = F.array_intersect(ends, _moved(F.col(f"p{i}_{k}"), len(p) - 1 - k))
             scores = F.transform(ends, lambda x: F.element_at(F.array(*[F.lit(w) for w in WEIGHTS.values()]), (F.floor(x / FIELD) + 1).cast("int")))
             hits = hits.withColumn(f"f{i}", F.aggregate(scores, F.lit(0.0), lambda s, x: s + x))
     stats = hits.agg(*[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(phrases))]).first()
@@ -170,6 +170,10 @@ def search_postings(postings: DataFrame, query: str, total: int, average: float,
     return found.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi") if allowed is not None else found
 
 
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x + by)
+
+
 def lengths(postings: DataFrame) -> tuple[int, float]:
     """(chunks, mean length) of an index, from its own chunk lengths; chunks without a token are not in it."""
     r = postings.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()

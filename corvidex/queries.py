@@ -121,7 +121,7 @@ def keyword_phrase(s, d):
 def keyword_stemmed(s, d):
     """All matches on a stemmed and folded index; SQL has no stemmer, so tests compare it with SQLite's."""
     postings = materialize(fts.build_postings(_chunks(s, d)), "postings")
-    return fts.search_postings(postings, "running records", *fts.lengths(postings)).select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
+    return fts.search_postings(postings, TERMS, *fts.lengths(postings)).select("chunk_id", F.round("fts_rank", 9).alias("fts_rank"))
 
 
 # --- vectors

@@ -121,6 +121,7 @@ def test_postings_rank_as_sqlite(spark, query):
     r = random.Random(5)
     vocab = "run running runner ponies pony café cafe naïve naive agreed agree its foo bar generalization general theta the as".split()
     rows = [(i, " ".join(r.choices(vocab, k=r.randint(3, 14))), r.choice(vocab), "d/" + r.choice(vocab)) for i in range(1, 60)]
+    rows += [(60, "so foo bars foo bar", "foo", "bar/x"), (61, "bar foo x bar", "foo bar", "foo/bar")]
     db = sqlite3.connect(":memory:")
     db.execute("create virtual table f using fts5(p, h, t, tokenize='porter unicode61')")
     db.executemany("insert into f(rowid, p, h, t) values (?, ?, ?, ?)", [(i, p, h, t) for i, t, h, p in rows])
