@@ -1,12 +1,15 @@
 """Most similar vectors for every vector (problem 2).
 
-Method: balanced posting lists. Centroids are fitted on a bounded sample by
-splitting clusters until they are about equally large. Every vector is posted
+Method: balanced posting lists, as many as the table needs (one for ``list_rows``
+vectors, MAX_LISTS at most). Centroids are fitted on a sample of SAMPLED vectors
+a list, in two levels: a few coarse cells on the driver, then each cell in the
+cluster, by splitting clusters until they are about equally large; the coarse
+fit sees COARSE vectors however large the table. Every vector is posted
 to its nearest list and, near a boundary, to further lists whose centroid is
 not much farther (closure); every vector then queries the lists whose centroid
 distance is within a ratio of the nearest one (pruning), and the hits of its
-lists are merged. Centroids are found through a navigating graph held in
-memory: a few pivots, then edges to near centroids.
+lists are merged. Centroids are found by walking a graph held in memory: from the
+nearest of a few entries along edges to near centroids, until the best stay.
 
 All rows are indexed and all rows are queried, in one shuffle on the list.
 Lists expected to outgrow ``cell_rows`` are cut into a grid of cells (blocks of
@@ -25,34 +28,33 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-SAMPLE = 131_072
-MAX_LISTS = 8_192
+SAMPLED, COARSE = 16, 16_384
+MAX_LISTS = 65_536
 
 
 class CentroidGraph:
-    """Unit centroids in a layered graph: entry points, edges from them down to near centroids, edges between near centroids.
+    """Unit centroids as a graph: entries with edges down to near centroids, and edges between near centroids.
 
-    search() ranks all entry points, follows their edges down, then the edges of
-    the best. Up to ``entries`` centroids each is its own entry point.
+    search() ranks the entries, about the square root of the centroids in number,
+    and follows the edges of the best; then those of the best centroids found, as
+    long as that betters any of them, WALK times at most.
     """
 
-    def __init__(self, centroids: np.ndarray, entries: int = 1024, down: int = 32, degree: int = 24, seed: int = 7):
+    def __init__(self, centroids: np.ndarray, down: int = 64, degree: int = 32, wide: int = 192, seed: int = 7):
         self.c = np.ascontiguousarray(centroids, np.float32)
         k = len(self.c)
-        self.entry = self.c
-        self.down = self.edges = None
-        if k > entries:
-            rng = np.random.default_rng(seed)
-            self.entry = self.c[rng.choice(k, entries, replace=False)]
-            for _ in range(5):
-                a = np.concatenate([np.argmax(self.c[i : i + 4096] @ self.entry.T, 1) for i in range(0, k, 4096)])
-                sums = np.zeros((entries, self.c.shape[1]))
-                np.add.at(sums, a, self.c)
-                empty = np.sqrt((sums * sums).sum(1)) < 1e-9
-                sums[empty] = self.c[rng.choice(k, int(empty.sum()))]
-                self.entry = _unit(sums)
-            self.down = self._near(self.entry, down, False)
-            self.edges = self._near(self.c, degree, True)
+        entries = min(k, max(16, round(k**0.5)))
+        rng = np.random.default_rng(seed)
+        self.entry = self.c[rng.choice(k, entries, replace=False)]
+        for _ in range(5):
+            a = np.concatenate([np.argmax(self.c[i : i + 4096] @ self.entry.T, 1) for i in range(0, k, 4096)])
+            sums = np.zeros((entries, self.c.shape[1]))
+            np.add.at(sums, a, self.c)
+            empty = np.sqrt((sums * sums).sum(1)) < 1e-9
+            sums[empty] = self.c[rng.choice(k, int(empty.sum()))]
+            self.entry = _unit(sums)
+        self.down = self._near(self.entry, min(down, k), False)
+        self.edges = self._spread(self._near(self.c, min(wide, k - 1), True), min(degree, k - 1)) if k > 1 else np.zeros((1, 1), np.int32)
 
     def _near(self, x: np.ndarray, n: int, own: bool) -> np.ndarray:
         out = []
@@ -60,14 +62,35 @@ class CentroidGraph:
             s = x[i : i + 1024] @ self.c.T
             if own:
                 s[np.arange(len(s)), np.arange(i, i + len(s))] = -9
-            out.append(np.argpartition(-s, n - 1, axis=1)[:, :n])
+            at = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            out.append(np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1))
         return np.concatenate(out).astype(np.int32)
 
+    def _spread(self, near: np.ndarray, degree: int) -> np.ndarray:
+        """Of each centroid's near ones (best first) ``degree`` in different directions: those nearer to it than to one taken before, then the nearest others."""
+        out = np.empty((len(near), degree), np.int32)
+        for i, cand in enumerate(near):
+            y = self.c[cand]
+            between, own = y @ y.T, y @ self.c[i]
+            closest = np.full(len(cand), -np.inf, np.float32)
+            free = np.ones(len(cand), bool)
+            taken: list[int] = []
+            while len(taken) < degree:
+                j = int(np.argmax(free & (own > closest)))
+                if not (free[j] and own[j] > closest[j]):
+                    break
+                taken.append(j)
+                free[j] = False
+                closest = np.maximum(closest, between[:, j])
+            out[i] = cand[(taken + np.flatnonzero(free).tolist())[:degree]]
+        return out
+
     def _rank(self, x: np.ndarray, cand: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        if cand.shape[1] < top:
+            cand = np.tile(cand, (1, -(-top // cand.shape[1])))
         cand = np.sort(cand, axis=1)
         s = np.einsum("bd,bkd->bk", x, self.c[cand], optimize=False)
         s[:, 1:][cand[:, 1:] == cand[:, :-1]] = -9
-        top = min(top, cand.shape[1])
         at = np.argpartition(-s, top - 1, axis=1)[:, :top]
         v = np.take_along_axis(s, at, 1)
         order = np.argsort(-v, axis=1, kind="stable")
@@ -76,23 +99,30 @@ class CentroidGraph:
     def search(self, x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroid numbers, cosines), best first; fewer distinct ones than asked repeat with cosine -9."""
         ids, cos = [], []
+        beam = max(top, BEAM)
         for i in range(0, len(x), 1024):
             b = x[i : i + 1024]
             s = b @ self.entry.T
-            start = min(12 if self.down is not None else top, s.shape[1])
-            best = np.argpartition(-s, start - 1, axis=1)[:, :start]
-            if self.down is None:
-                v = np.take_along_axis(s, best, 1)
-                order = np.argsort(-v, axis=1, kind="stable")
-                best, v = np.take_along_axis(best, order, 1), np.take_along_axis(v, order, 1)
-            else:
-                best, _ = self._rank(b, self.down[best].reshape(len(b), -1), 10)
-                best, v = self._rank(b, np.concatenate([best, self.edges[best[:, :8]].reshape(len(b), -1)], axis=1), max(top, 6))
+            start = min(STARTS, s.shape[1])
+            first = np.argpartition(-s, start - 1, axis=1)[:, :start]
+            best, v = self._rank(b, self.down[first].reshape(len(b), -1), beam)
+            walking = np.arange(len(b))
+            for _ in range(WALK):
+                now = best[walking]
+                found, near = self._rank(b[walking], np.concatenate([now, self.edges[now[:, :EXPANDED]].reshape(len(now), -1)], axis=1), beam)
+                moved = (found[:, :top] != now[:, :top]).any(1)
+                best[walking], v[walking] = found, near
+                walking = walking[moved]
+                if not len(walking):
+                    break
             ids.append(best[:, :top])
             cos.append(v[:, :top])
         return np.concatenate(ids), np.concatenate(cos)
 
 
+STARTS, BEAM, EXPANDED, WALK = 10, 16, 8, 5
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     d = x.astype(np.float64)
     return (d / np.sqrt((d * d).sum(1, keepdims=True))).astype(np.float32)
@@ -133,6 +163,35 @@ def balanced_centroids(x: np.ndarray, k: int, seed: int = 7, rounds: int = 6) ->
     return _unit(sums[keep]) if keep.any() else x[:1]
 
 
+def fitted(rows: DataFrame, total: int, lists: int, sampled: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the coarse sample, about ``lists`` unit centroids) for rows (id, vec, h); samples are by hash, so a run that is repeated takes the same."""
+    spark = rows.sparkSession
+    scale = 1 << 30
+    share = F.pmod(F.xxhash64("h", "id"), F.lit(scale))
+    some = rows.where(share < min(scale, -(-scale * lists * sampled // total)))
+    coarse = rows.where(share < min(scale, -(-scale * COARSE // total))).select("vec").toArrow()  # about COARSE rows
+    if not coarse.num_rows:
+        coarse = rows.select("vec").limit(COARSE).toArrow()
+    x = _unit(_matrix(coarse.column("vec"), width))
+    cells = balanced_centroids(x, max(1, min(round(lists**0.5), len(x) // 64)))
+    shared = spark.sparkContext.broadcast(cells)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _unit(_matrix(batch.column(0), width))
+            yield pa.RecordBatch.from_arrays([pa.array(np.argmax(v @ shared.value.T, 1).astype(np.int32)), batch.column(0)], names=["cell", "vec"])
+
+    n_sample = min(total, lists * sampled)
+
+    def split(group: pa.Table) -> pa.Table:
+        v = _unit(_matrix(group.column("vec"), width))
+        return pa.table({"vec": _binary(balanced_centroids(v, max(1, round(lists * len(v) / n_sample))))})
+
+    # a cell holds the sample's size over the cells, about SAMPLED times the root of the lists
+    found = some.select("vec").mapInArrow(place, "cell int, vec binary").groupBy("cell").applyInArrow(split, "vec binary").toArrow()  # at most about MAX_LISTS
+    return x, (_matrix(found.column("vec"), width) if found.num_rows else cells)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -150,7 +209,7 @@ def _binary(x: np.ndarray) -> pa.Array:
 def most_similar(
     vectors: DataFrame, id_col: str, vector_col: str, width: int = 64, k: int = 5,
     list_rows: int = 256, post_lists: int = 4, query_lists: int = 6, post_ratio: float = 1.2, query_ratio: float = 1.3,
-    sample: int = SAMPLE, max_lists: int = MAX_LISTS, cell_rows: int = 8_192,
+    sampled: int = SAMPLED, max_lists: int = MAX_LISTS, cell_rows: int = 8_192,
 ) -> DataFrame:
     """(id, other, similarity, place): for every vector its k most similar ones, place 1 to k.
 
@@ -184,12 +243,10 @@ def most_similar(
         lone = rows
 
     total = lone.count()
-    picked = lone.select("vec").orderBy(F.xxhash64("h", "id")).limit(sample).toArrow() if total else None
     if not total:
         return spark.createDataFrame([], "id long, other long, similarity double, place int")
-    x = _unit(_matrix(picked.column("vec"), width))
-    lists = int(max(1, min(max_lists, len(x) // 16, total // list_rows)))
-    centroids = balanced_centroids(x, lists)
+    lists = int(max(1, min(max_lists, total // list_rows)))
+    x, centroids = fitted(lone, total, lists, sampled, width)
     graph = CentroidGraph(centroids)
     nearest = graph.search(x, 1)[0][:, 0]
     expected = np.bincount(nearest, minlength=len(centroids)) * (total / len(x)) * 2.5

@@ -142,12 +142,16 @@ def test_knn_copies_and_small_tables(spark):
     assert knn.most_similar(few.limit(0), "chunk_id", "embedding", width=8).count() == 0
 
 
-def test_layered_centroid_graph():
+@pytest.mark.parametrize("k", [1, 2, 20, 700, 3000])
+def test_centroid_graph_walk(k):
     r = np.random.default_rng(0)
-    c = knn._unit(r.normal(size=(3000, 16)))
-    g = knn.CentroidGraph(c, entries=256)
-    x = knn._unit(c[:400] + 0.05 * r.normal(size=(400, 16)))
-    assert (g.search(x, 4)[0][:, 0] == np.argmax(x @ c.T, 1)).mean() > 0.9
+    c = knn._unit(r.normal(size=(k, 8)))
+    g = knn.CentroidGraph(c)
+    x = knn._unit(c[:400] + 0.05 * r.normal(size=(len(c[:400]), 8)))
+    ids, cos = g.search(x, 4)
+    assert (ids[:, 0] == np.argmax(x @ c.T, 1)).mean() > 0.97 and ids.shape == cos.shape
+    if k > 16:
+        assert len(g.entry) < k  # the graph is used at every size
 
 
 # --- 4
@@ -342,7 +346,9 @@ def brute_runs(rows, n):
     return {p for s in seen.values() for p in itertools.combinations(sorted(s), 2)}
 
 
-def test_spans_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [64, 2])
+def test_spans_equal_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(spans, "HOT", hot)  # the way of hot keys must find the same
     r = random.Random(13)
     rows = [(i, " ".join(sentence(r) for _ in range(8))) for i in range(30)]
     for i in range(30):
@@ -352,9 +358,8 @@ def test_spans_equal_brute_force(spark):
         rows.append((100 + i, sentence(r) + src[k : k + n] + "|" + sentence(r)))
     rows += [(200, "=" * 700), (201, "a" + "=" * 350), (202, None), (203, ""), rows[3], rows[3], (204, rows[4][1]), (205, "=" * 299)]
     df = cluttered(spark.createDataFrame(rows, "doc_id long, text string"))
-    runs, members, _ = spans.shared_runs(df)
-    pairs = runs.select(F.col("rep_a").alias("doc_a"), F.col("rep_b").alias("doc_b")).distinct()
-    got = {tuple(x) for x in expand_pairs(pairs, members, "doc_a", "doc_b").collect()}
+    runs, members, _, sets = spans.shared_runs(df)
+    got = {tuple(x) for x in expand_pairs(spans._pairs(runs, sets), members, "doc_a", "doc_b").collect()}
     assert got == brute_runs(set(rows), 300)
     text = dict(rows)
     for x in runs.collect():
@@ -363,6 +368,22 @@ def test_spans_equal_brute_force(spark):
     assert spans.shared_runs(df.limit(0))[0].count() == 0
 
 
+def test_a_text_in_many_documents_stays_linear(spark, tmp_path):
+    """2 000 documents with one licence of 400 characters, 2 000 with a phrase of 250: runs grow with the documents."""
+    r = random.Random(18)
+    licence, phrase = (" ".join(sentence(r) for _ in range(8))[:n] for n in (400, 250))
+    rows = [(i, f"{sentence(r)} {licence if i % 2 else phrase} {sentence(r)} {sentence(r)}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs, _, _, sets = spans.shared_runs(df)
+    found = runs.collect()
+    # the words before and after make some ends of the run alike too, hence several sets a document; all pairs would be two million
+    assert {x["rep_b"] for x in found} | {1} == {i for i in range(4000) if i % 2} and len(found) < 30 * 2000
+    assert sets.count() < 30 * 2000
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    shares = {x["doc_id"]: x["shared_code_points"] for x in spans.p8_shares(spark, str(tmp_path)).collect()}
+    assert all((shares[i] >= 400) == bool(i % 2) for i in range(4000))
+
+
 def test_spans_and_classes_of_copies(spark, tmp_path):
     r = random.Random(15)
     a, b, c = (" ".join(sentence(r) for _ in range(6)) for _ in range(3))
