@@ -65,8 +65,9 @@ class _Index:
         """
         df = np.array([counts.get(int(k), 0) for k in self.key.view(np.int64)], np.int64)
         kept, span = df <= RARE * (np.median(df[df > 0]) if (df > 0).any() else 1), run_words - SEED_WORDS + 1
-        for j in range(len(self.items)):
-            at = np.flatnonzero(self.item == j)
+        ends = np.searchsorted(self.item, np.arange(len(self.items) + 1))  # an item's seeds stand together
+        for first, end in zip(ends.tolist(), ends[1:].tolist()):
+            at = np.arange(first, end)
             for s in range(max(1, len(at) - span + 1) if len(at) else 0):
                 window = at[s : s + span]
                 kept[window[np.lexsort((-window, df[window]))[0]]] = True

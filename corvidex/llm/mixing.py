@@ -15,9 +15,11 @@ cut falls is ordered, so a source of any size is never sorted in one task.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +49,15 @@ def source_key(source: Column) -> Column:
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens): rows of (doc_id, source, text) with their whole text's tokens; null text has 0."""
+    """(doc_id, source, tokens): rows of (doc_id, source, text) with their whole text's tokens; null text has 0.
+
+    ``vocabulary`` is a file of the driver's machine; Spark sends it to the executors.
+    """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(SparkFiles.get(name))
         for batch in batches:
             tokens = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], names=["doc_id", "source", "tokens"])
