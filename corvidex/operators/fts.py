@@ -14,12 +14,14 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.porter import stem
 from ..functions.text import folded, tokens
+from ..session import fan_out, materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 # fixed values: weights of path, heading and text
@@ -46,7 +48,7 @@ def _ends(tokens: Column, phrase: tuple[str, ...]):
 def chunk_words(chunks: DataFrame, phrases: list[tuple[str, ...]], weights: dict[str, float] | None = None, fold: bool = True) -> DataFrame:
     """(chunk_id, len, f0, f1, ...): each chunk's token count and weighted frequency of each phrase; rows repeated whole stay."""
     weights = weights or WEIGHTS
-    rows = chunks.select("chunk_id", *[tokens(F.col(f), fold).alias(f) for f in weights])
+    rows = fan_out(chunks.select("chunk_id", *weights)).select("chunk_id", *[tokens(F.col(f), fold).alias(f) for f in weights])
     length = sum((F.size(f) for f in weights), F.lit(0))
     cols = [length.cast("long").alias("len")]
     for i, p in enumerate(phrases):
@@ -74,17 +76,18 @@ def bm25(chunks: DataFrame, query: str, weights: dict[str, float] | None = None,
 
     ``allowed`` (chunk_id) restricts the result, not the statistics. A query
     without a word or with a lone ``_``, like an empty table, gives no rows.
-    Diacritics are folded on both sides unless ``fold`` is off. Texts are never
-    shuffled: repeated chunks are dropped from the counts, for the statistics, and
-    from the matches. With a stored index, search_postings() reads no text at all.
+    Diacritics are folded on both sides unless ``fold`` is off. Texts are read
+    once and not shuffled (but to spread a table of a few files): repeated chunks
+    are dropped from the counts, which are written and read for statistics and
+    matches. With a stored index, search_postings() reads no text at all.
     """
     words = query_phrases(query, fold)
     if not words or not all(words):
         return _none(chunks)
     counted = chunk_words(chunks, words, weights, fold)
-    once = counted.groupBy("chunk_id").agg(F.first("len").alias("len"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(len(words))])
+    once = materialize(counted.groupBy("chunk_id").agg(F.first("len").alias("len"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(len(words))]), "word-counts")
     stats = once.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(words))]).first()
-    hits = _ranked(counted, len(words), stats["n"], stats["avg"] or 1.0, [stats[f"n{i}"] or 0 for i in range(len(words))]).dropDuplicates(["chunk_id"])
+    hits = _ranked(once, len(words), stats["n"], stats["avg"] or 1.0, [stats[f"n{i}"] or 0 for i in range(len(words))])
     return hits.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi") if allowed is not None else hits
 
 
@@ -106,36 +109,51 @@ def build_postings(chunks: DataFrame, stemmed: bool = True, fold: bool = True, k
     after their texts have been cut into words in place; the stemmer runs over the
     distinct words of a batch.
     """
-    fields = list(WEIGHTS)
+    fields, weights = list(WEIGHTS), list(WEIGHTS.values())
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = re.compile(r"[^\W_]+").findall
         low = folded if fold else str.lower
         stems: dict[str, str] = {}
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                at: dict[str, list[int]] = {}
-                weight: dict[str, float] = {}
-                length = 0
-                for i, f in enumerate(fields):
-                    found = re.findall(r"[^\W_]+", low(getattr(row, f) or ""))
-                    length += len(found)
-                    for k, word in enumerate(found):
-                        if stemmed:
-                            if (term := stems.get(word)) is None:
-                                if len(stems) > 500_000:
-                                    stems.clear()
-                                term = stems[word] = stem(word)
-                        else:
-                            term = word
-                        at.setdefault(term, []).append(i * FIELD + k)
-                        weight[term] = weight.get(term, 0.0) + WEIGHTS[f]
-                out += [(t, row.chunk_id, length, weight[t], places, *[getattr(row, c) for c in keep]) for t, places in at.items()]
-            yield pd.DataFrame(out, columns=["term", "chunk_id", "len", "wtf", "places", *keep])
+        for batch in batches:
+            for s in range(0, len(batch), 500):
+                part = batch.slice(s, 500)
+                texts = [part.column(1 + i).to_pylist() for i in range(len(fields))]
+                terms, row, length, weight, ends, flat = [], [], [], [], [0], []
+                for r, values in enumerate(zip(*texts)):
+                    at: dict[str, list[int]] = {}
+                    count = 0
+                    for i, v in enumerate(values):
+                        found = words(low(v)) if v else ()
+                        count += len(found)
+                        for place, word in enumerate(found, i * FIELD):
+                            if stemmed:
+                                if (term := stems.get(word)) is None:
+                                    if len(stems) > 500_000:
+                                        stems.clear()
+                                    term = stems[word] = stem(word)
+                                word = term
+                            if word in at:
+                                at[word].append(place)
+                            else:
+                                at[word] = [place]
+                    for term, places in at.items():
+                        terms.append(term)
+                        flat += places
+                        ends.append(len(flat))
+                    row += [r] * len(at)
+                    length += [count] * len(at)
+                places = np.array(flat, np.int32)
+                each = np.array(weights)[places // FIELD]
+                weight = np.add.reduceat(each, ends[:-1]) if terms else np.empty(0)
+                of = pa.array(row, pa.int64())
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places))
+                cols = [pa.array(terms, pa.string()), part.column(0).take(of), pa.array(length, pa.int32()), pa.array(weight, pa.float64()), listed, *(part.column(1 + len(fields) + i).take(of) for i in range(len(keep)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["term", "chunk_id", "len", "wtf", "places", *keep])
 
     more = "".join(f", {c} {chunks.schema[c].dataType.simpleString()}" for c in keep)
-    flat = chunks.select("chunk_id", *fields, *[c for c in keep if c not in fields]).mapInPandas(cut, f"term string, chunk_id long, len int, wtf double, places array<int>{more}")
-    return flat.dropDuplicates(["term", "chunk_id"])
+    rows = fan_out(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), *fields, *[F.col(c).alias(f"keep_{c}") for c in keep]))
+    return rows.mapInArrow(cut, f"term string, chunk_id long, len int, wtf double, places array<int>{more}").dropDuplicates(["term", "chunk_id"])
 
 
 def search_postings(postings: DataFrame, query: str, total: int, average: float, allowed: DataFrame | None = None, stemmed: bool = True, fold: bool = True) -> DataFrame:

@@ -41,8 +41,8 @@ def test_unpack_dialects(spark):
 def test_unpack_many_kinds_and_long_values(spark):
     kinds = ["x1,x2", "x2;x3", "x3|x4", "x4\nx5", "x5\tx6", "x6，x7", "x7、x8", "x8；x9", "x9 • y1"]
     mixed = "x1,x2;x3|x4\nx5\tx6，x7、x8；x9 • y1"
-    long = "ab, " * 60 + "end"
-    rows = [(i, k) for i, k in enumerate(kinds * 6)] + [(1000, mixed), (1001, f'"{long}";x1')] + [(1002 + i, f'"{long}";x{i}') for i in range(4)]
+    long = ", ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    rows = [(i, k) for i, k in enumerate(kinds * 6)] + [(1000, mixed), (1001, f'"{long}";x1')] + [(1002 + i, f'"{long}";x{i % 9}') for i in range(60)]
     got = {}
     for r in unpack(spark.createDataFrame(rows, "doc_id long, tags string"), "doc_id", "tags").where("doc_id >= 1000").orderBy("doc_id", "pos").collect():
         got.setdefault(r["doc_id"], []).append(r["tag"])
@@ -103,7 +103,7 @@ def test_vectors(spark):
     assert got == [(1, 0.0), (7, 0.0), (3, 0.292893), (2, 1.0)]
     assert [r[0] for r in vector.similar_documents(df, "a", 3).orderBy("distance").collect()] == ["b", "d"]
     assert vector.similar_documents(df, "nowhere", 3).count() == 0
-    near, far = vector.knn(df, [1.0, 0, 0]).limit(1), vector.knn(df, [0, 0, 1.0]).limit(1)
+    near, far = vector.knn(df, [1.0, 0, 0], k=1), vector.knn(df, [0, 0, 1.0], k=1)
     assert vector.better_of(far, near) is near and vector.better_of(near, far) is near and vector.better_of(near, near.limit(0)) is near
 
 
