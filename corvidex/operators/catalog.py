@@ -45,7 +45,7 @@ def latest(documents: DataFrame) -> DataFrame:
 
 
 def unchanged(documents: DataFrame) -> DataFrame:
-    """The indexings whose text is that of their path's indexing before.
+    """The indexings whose text is that of their path's indexing before; those without a path or id are never among them.
 
     The one before is found in two steps, so that no path's whole history is
     sorted in one task: runs of RUN ids are ranked apart, then joined at the ends.
